@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from keelson.llm import exact, mixing
+from keelson.llm import bpe, exact, mixing, simhash
+from keelson.llm.queries import RANK_FILE
 from keelson.llm.shared import materialise
 
 
@@ -12,11 +14,19 @@ def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.drop_exact_duplicates(docs)
 
 
+def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.drop_near_duplicates(docs)
+
+
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES = [("exact_dedup", _exact), ("mixing", _mix)]
+def _tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.with_digests(bpe.tokenise(docs, RANK_FILE, public_tokenizers.PATTERN))
+
+
+STAGES = [("exact_dedup", _exact), ("near_dedup", _near), ("mixing", _mix), ("bpe", _tokens)]
 
 ORACLE_SQL = None
 

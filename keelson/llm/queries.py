@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing, urls
+from . import bpe, exact, mixing, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The ranks that documents are encoded by.
+RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Fixed values of the URL contract.
 URL_RULES = [
     urls.UrlRule("block", "com", "/en/"),
@@ -21,11 +24,20 @@ URL_RULES = [
 ]
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = bpe.tokenise(_table(spark, sf_dir, "documents"), RANK_FILE, public_tokenizers.PATTERN)
+    return bpe.with_digests(tokens)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixture(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -35,7 +47,9 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_bpe": op3_bpe,
     "op5_mixing": op5_mixing,
+    "op7_simhash": op7_simhash,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_url_filter": op9_url_filter,
 }
