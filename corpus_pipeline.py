@@ -5,11 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from keelson.llm import bpe, exact, mixing, simhash
-from keelson.llm.queries import RANK_FILE
+from keelson.llm import bpe, exact, mixing, quality, simhash
+from keelson.llm.queries import RANK_FILE, quality_model
 from keelson.llm.shared import materialise
 
 
+def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, quality_model(spark, docs, sf_dir))
+
+
 def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.drop_exact_duplicates(docs)
 
@@ -26,7 +30,7 @@ def _tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.with_digests(bpe.tokenise(docs, RANK_FILE, public_tokenizers.PATTERN))
 
 
-STAGES = [("exact_dedup", _exact), ("near_dedup", _near), ("mixing", _mix), ("bpe", _tokens)]
+STAGES = [("quality", _quality), ("exact_dedup", _exact), ("near_dedup", _near), ("mixing", _mix), ("bpe", _tokens)]
 
 ORACLE_SQL = None
 

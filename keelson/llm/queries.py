@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact, mixing, simhash, urls
+from . import bpe, exact, langid, mixing, quality, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,27 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.with_digests(tokens)
 
 
+def _remainder(doc_id: Column, of: int) -> Column:
+    """crc32 of the id as text, modulo `of`; -1 for a null id."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % of, F.lit(-1))
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit_languages(docs, _remainder(F.col("doc_id"), 4) == 2)
+    return langid.predict_languages(docs, model).select("doc_id", (_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.QualityModel:
+    return quality.fit_quality(docs, _table(spark, sf_dir, "labels"), _remainder(F.col("doc_id"), 5) == 0)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = quality.score_quality(docs, quality_model(spark, docs, sf_dir))
+    return scored.select("doc_id", (_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixture(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -48,10 +70,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_bpe": op3_bpe,
+    "op4_langid": op4_langid,
     "op5_mixing": op5_mixing,
     "op7_simhash": op7_simhash,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_url_filter": op9_url_filter,
+    "op10_quality": op10_quality,
 }
 
 OP5_SQL = r"""
