@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact, langid, mixing, quality, secrets, simhash, urls
+from . import ann, bpe, exact, langid, mixing, quality, secrets, simhash, substring, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = bpe.tokenise(_table(spark, sf_dir, "documents"), RANK_FILE, public_tokenizers.PATTERN)
     return bpe.with_digests(tokens)
@@ -78,6 +82,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ann": op1_ann,
+    "op2_substring": op2_substring,
     "op3_bpe": op3_bpe,
     "op4_langid": op4_langid,
     "op5_mixing": op5_mixing,
