@@ -8,13 +8,14 @@ all premises one aggregate for each project.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import ends_with_any, head, leaf, starts_with_any
+from ..plans.lineage import cut
 from ..schema import Model
 from . import churn as churn_ops
 from .classify import Classified, mixed_layer_modules
@@ -69,16 +70,20 @@ RULES = (
 
 
 class Evaluation:
-    """The rules over one model; every property is a lazy DataFrame."""
+    """The rules over one model.
+
+    Labels and the edges with the labels of their ends are written once; the rest is lazy."""
 
     def __init__(self, model: Model, classified: Classified, config: Config, commit_files: DataFrame | None = None, deps: DataFrame | None = None):
         self.model, self.config, self.classified = model, config, classified
         self.commit_files, self.deps = commit_files, deps
-        self.labels = classified.by_symbol.select("project", "id", "pattern", F.col("layer").alias("own_layer"), "inherited")
+        labels = classified.by_symbol.select("project", "id", "pattern", F.col("layer").alias("own_layer"), "inherited")
         directory = reduce(lambda c, x: c.when(F.startswith("file", F.lit(x[0])), x[1]), config.layer_dirs(), F.when(F.lit(False), ""))
-        placed = last_by_id(model.symbols).join(self.labels, ["project", "id"], "left")
+        placed = last_by_id(model.symbols).join(labels, ["project", "id"], "left")
         #: project, id, pattern, own_layer, layer (by label, else by directory) of each id
-        self.where = placed.select("project", "id", "pattern", "own_layer", "inherited", F.coalesce("own_layer", directory).alias("layer"))
+        # classified once, written, and read by every rule
+        self.where = cut(placed.select("project", "id", "pattern", "own_layer", "inherited", F.coalesce("own_layer", directory).alias("layer")))
+        self.labels = self.where.where("pattern is not null").select("project", "id", "pattern", "own_layer", "inherited")
         #: every symbol row with the labels of its id
         self.symbols = model.symbols.join(self.where, ["project", "id"], "left")
         self.ports = self.symbols.where("kind = 'trait' and pattern = 'port'")
@@ -95,13 +100,13 @@ class Evaluation:
         out = edges.join(side("from"), ["project", "from_id"], "left")
         return out.join(side("to"), ["project", "to_id"], "left") if both else out
 
-    @property
+    @cached_property
     def _local(self) -> DataFrame:
-        return self._ends(self.model.edges.where("to_scope = 'local'"))
+        return cut(self._ends(self.model.edges.where("to_scope = 'local'")))
 
-    @property
+    @cached_property
     def _extern(self) -> DataFrame:
-        return self._ends(self.model.edges.where("to_scope = 'extern'"), both=False)
+        return cut(self._ends(self.model.edges.where("to_scope = 'extern'"), both=False))
 
     def _symbol(self, rule: str, df: DataFrame, detail: Column, to: Column | None = None) -> DataFrame:
         return self._out(rule, df, F.lit("") if to is None else to, detail, from_id="id")

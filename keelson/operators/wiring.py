@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import leaf, names_self
+from ..plans.lineage import cut
 from ..schema import Model
 from .classify import Classified
 from .links import last_by_id
@@ -49,7 +52,7 @@ class Wiring:
     def __init__(self, model: Model, classified: Classified, config: Config, entries: DataFrame | None = None):
         """entries: project, id, verb of functions that are called from outside."""
         self.model, self.config, self.entries = model, config, entries
-        labels = classified.by_symbol.select("project", "id", "pattern", "layer")
+        labels = cut(classified.by_symbol.select("project", "id", "pattern", "layer"))
         self.live = model.symbols.where("not is_test")
         self.labelled = self.live.join(labels, ["project", "id"], "left")
         self.types = last_by_id(self.labelled.where(F.col("kind").isin(*SHAPES)))
@@ -60,13 +63,13 @@ class Wiring:
             out = out.when(layer == x.id, i)
         return out.otherwise(len(self.config.layers))
 
-    @property
+    @cached_property
     def owners(self) -> DataFrame:
         """project, id, brick of each function and method; the last row of an id counts."""
         types = self.types.select("project", F.col("id").alias("parent"))
         methods = self.live.where("kind = 'method'").join(types, ["project", "parent"], "left_semi").withColumn("brick", F.col("parent"))
         free = self.live.where("kind = 'fn' and parent is null").withColumn("brick", functions_id(F.col("module")))
-        return last_by_id(methods.unionByName(free))
+        return cut(last_by_id(methods.unionByName(free)))
 
     @property
     def bricks(self) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import Config, Layer, Pattern
 from ..operators import churn, links
 from ..schema import Model
+from .lineage import cut
 
 PROJECT = "trade"
 
@@ -50,7 +51,7 @@ def _pick(index: Column, values: tuple[str, ...]) -> Column:
 
 
 class Trade:
-    """Lazy logical tables over one directory of Parquet files."""
+    """Logical tables over one directory of Parquet files; those used again and again are written once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -74,11 +75,11 @@ class Trade:
         method = (F.col("p_type") == "MEDIUM") & F.col("p_id").isNotNull()
         kind = F.when(method, "method").when(F.col("p_type") == "STANDARD", "struct").when(F.col("p_type") == "PROMO", "trait").when(F.col("p_type") == "LARGE", "enum").when(F.col("p_type") == "ECONOMY", "static").otherwise("fn")
         module = F.when(method, F.col("p_module")).otherwise(F.col("module"))
-        return both.select(
+        return cut(both.select(
             "n", "brand", "s", "a", "b", "name", "older", kind.alias("kind"), F.when(method, F.col("p_id")).alias("parent"), module.alias("module"),
             F.concat_ws("::", F.when(method, F.col("p_id")).otherwise(F.col("module")), "name").alias("id"), F.when(method, F.col("p_file")).otherwise(F.col("file")).alias("file"),
             (F.col("s") % 19 == 0).alias("is_test"),
-        )
+        ))
 
     @cached_property
     def symbols(self) -> DataFrame:
@@ -97,7 +98,7 @@ class Trade:
             F.array(param).alias("params"), ret.alias("ret"), F.when(s % 4 == 1, F.array(older)).otherwise(none).alias("ret_paths"), none.alias("generic_bounds"),
             F.array().cast("array<struct<name:string,bounds:array<string>>>").alias("generics"), F.lit(False).alias("is_async"), (F.col("kind") == "method").alias("takes_self"), F.when(F.col("kind") == "method", "&self").alias("receiver"),
         )
-        return self.parts.select(
+        return cut(self.parts.select(
             F.lit(PROJECT).alias("project"), n.cast("bigint").alias("ord"), "id", "kind", "name", "module", "parent", "file", s.cast("int").alias("line"),
             F.when(s % 2 == 0, "public").otherwise("private").alias("vis"), none.alias("cfg"), "is_test",
             F.when(s % 3 == 0, F.array(F.lit("Clone"), F.lit("Debug"))).when(s % 3 == 1, F.array(F.lit("Debug"))).otherwise(none).alias("derives"), none.alias("attrs"),
@@ -107,7 +108,7 @@ class Trade:
             F.when(is_fn & (s % 6 == 0), F.array(F.concat("a", F.lit(".x."), "b"))).otherwise(none).alias("field_chains"), none.alias("self_calls"),
             F.when(s % 11 == 0, F.array(F.struct(F.lit("unwrap").alias("method"), s.cast("int").alias("line")))).otherwise(F.array().cast("array<struct<method:string,line:int>>")).alias("panics"),
             F.array().cast("array<struct<recv:string,method:string,line:int,ty:string,callee:string>>").alias("recv_calls"), s.cast("int").alias("loc"),
-        )
+        ))
 
     @cached_property
     def ids(self) -> DataFrame:
@@ -124,7 +125,7 @@ class Trade:
         paths = F.element_at(F.create_map(*[F.lit(x) for pair in PATHS.items() for x in pair]), F.col("o_orderpriority"))
         out = items.where("l_quantity < 3").join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(end("l_partkey", "from_id"), "l_partkey").withColumn("to_path", paths)
         out = out.select(*shared, F.lit("extern").alias("to_scope"), F.lit(None).cast("string").alias("to_id"), F.substring_index("to_path", "::", 1).alias("to_krate"), "to_path", F.when(F.col("l_returnflag") == "R", "sig").otherwise("call").alias("kind"), "file", F.col("l_linenumber").cast("int").alias("line"), F.lit(None).cast("string").alias("via"))
-        return local.unionAll(out)
+        return cut(local.unionAll(out))
 
     @cached_property
     def impls(self) -> DataFrame:

@@ -193,11 +193,19 @@ for _r in rules.RULES:
 
 _NEEDED, _INSTANCES = sql.all_instances()
 _UNTIL = "VALUES " + ", ".join(f"({i}, '{r.id}', '{r.tier}', '{r.kind}', {str(r.gate).lower()})" for i, r in enumerate(rules.RULES))
+_WHY = """
+SELECT 'flow-skip' AS rule, CASE WHEN NOT (bool_or(pattern IN ('command-handler', 'service', 'use-case')) AND bool_or(pattern = 'store')) THEN 'no station exists on both sides of the port seam' END AS why FROM placed
+UNION ALL SELECT 'renders-off-store', CASE WHEN NOT bool_or(pattern = 'view-model' AND kind IN ('fn', 'method') AND NOT is_test) THEN 'no render function found' END FROM placed
+UNION ALL SELECT 'store-decides', CASE WHEN NOT bool_or(pattern IN ('store', 'adapter', 'infra-impl') AND kind = 'method') THEN 'no store or adapter method exists' END FROM placed
+UNION ALL SELECT 'handler-decides', CASE WHEN NOT bool_or(pattern = 'command-handler') THEN 'no command-handler exists' END FROM placed
+UNION ALL SELECT 'service-wraps-one', CASE WHEN NOT bool_or(pattern = 'service' AND kind IN ('fn', 'method')) THEN 'no symbol classifies as service' END FROM placed
+UNION ALL SELECT 'converter-is-pure', CASE WHEN NOT bool_or(pattern = 'converter') THEN 'no symbol classifies as converter' END FROM placed
+UNION ALL SELECT 'concrete-outside-root', CASE WHEN NOT bool_or(pattern IN ('store', 'adapter', 'infra-impl') AND NOT inherited) THEN 'no concrete store or adapter exists' END FROM placed"""
 _FINDINGS = f"""
 SELECT r.*, CASE WHEN why IS NOT NULL THEN 'unevaluable' WHEN rule = 'dependency-inversion' AND coalesce(bad, 0) = 0 THEN 'upheld' WHEN coalesce(n, 0) > 0 THEN 'violated' ELSE 'pass' END AS status, coalesce(why, '') AS because, CASE WHEN why IS NULL THEN coalesce(n, 0) ELSE 0 END AS n
 FROM ({_UNTIL}) r(no, rule, tier, kind, gate)
 LEFT JOIN (SELECT rule, count(*) AS n, count(*) FILTER (starts_with(detail, 'domain type implements')) AS bad FROM ({_INSTANCES}) GROUP BY rule) i USING (rule)
-LEFT JOIN (SELECT rule, why FROM (SELECT CASE WHEN NOT EXISTS (SELECT 1 FROM placed WHERE pattern IN ('store', 'adapter', 'infra-impl') AND kind = 'method') THEN 'no store or adapter method exists' END AS why) CROSS JOIN (VALUES ('store-decides')) v(rule)) w USING (rule)"""
+LEFT JOIN ({_WHY}) w USING (rule)"""
 
 
 @query(*dict.fromkeys([*_NEEDED, "placed"]), sql_body=f"SELECT no::INTEGER AS no, rule, tier, kind, gate, status, because, n, CASE WHEN status = 'violated' AND (gate OR rule = 'port-has-fake') THEN 'warn' WHEN status IN ('violated', 'unevaluable') THEN 'note' ELSE 'good' END AS tone FROM ({_FINDINGS})")
@@ -294,7 +302,7 @@ def rename_fold(t: Trade) -> DataFrame:
     return ratchet.fold_renames(ratchet.diff(*_snapshots(t)))
 
 
-_SERIES = "SELECT row_number() OVER (ORDER BY d) - 1 AS ord, d AS at, n AS violations, n / 10.0::DOUBLE AS coverage FROM (SELECT strftime(o_orderdate, '%Y-%m-%d') AS d, count(*) AS n FROM orders GROUP BY 1)"
+_SERIES = "SELECT row_number() OVER (ORDER BY d) - 1 AS ord, d AS \"at\", n AS violations, n / 10.0::DOUBLE AS coverage FROM (SELECT strftime(o_orderdate, '%Y-%m-%d') AS d, count(*) AS n FROM orders GROUP BY 1)"
 
 
 def _series(t: Trade) -> DataFrame:
@@ -306,7 +314,7 @@ def _today(t: Trade) -> DataFrame:
     return _series(t).groupBy("project").agg(F.max("at").alias("at"), F.lit(3).cast("bigint").alias("violations"), F.lit(0.5).alias("coverage"))
 
 
-@query(raw=True, sql_body=f"SELECT ord, at, CASE WHEN ord = (SELECT max(ord) FROM ({_SERIES})) THEN 3 ELSE violations END::BIGINT AS violations, CASE WHEN ord = (SELECT max(ord) FROM ({_SERIES})) THEN 0.5 ELSE coverage END::DOUBLE AS coverage FROM ({_SERIES})")
+@query(raw=True, sql_body=f"SELECT ord, \"at\", CASE WHEN ord = (SELECT max(ord) FROM ({_SERIES})) THEN 3 ELSE violations END::BIGINT AS violations, CASE WHEN ord = (SELECT max(ord) FROM ({_SERIES})) THEN 0.5 ELSE coverage END::DOUBLE AS coverage FROM ({_SERIES})")
 def progress_series(t: Trade) -> DataFrame:
     return ratchet.progress(_series(t), _today(t))
 
@@ -325,7 +333,7 @@ def civil_stamps(t: Trade) -> DataFrame:
 # ---------------------------------------------------------------- graphs
 
 _SPREAD = """
-, walk AS (SELECT 'NATION_1' AS start, 'NATION_1' AS node, 0 AS depth UNION SELECT w.start, l.b, w.depth + 1 FROM walk w JOIN nation_links l ON l.a = w.node WHERE w.depth < 6 AND (w.depth = 0 OR w.node NOT IN ('NATION_7', 'NATION_13')))
+, walk AS (SELECT n_name AS start, n_name AS node, 0 AS depth FROM nation UNION SELECT w.start, l.b, w.depth + 1 FROM walk w JOIN nation_links l ON l.a = w.node WHERE w.depth < 6 AND (w.depth = 0 OR w.node NOT IN ('NATION_7', 'NATION_13')))
 SELECT start, node, min(depth)::INTEGER AS depth, node IN ('NATION_7', 'NATION_13') AS is_port FROM walk WHERE depth > 0 GROUP BY start, node"""
 
 
@@ -333,23 +341,23 @@ SELECT start, node, min(depth)::INTEGER AS depth, node IN ('NATION_7', 'NATION_1
 def bfs_trace(t: Trade) -> DataFrame:
     one = lambda *ids: t.table("nation").where(F.col("n_name").isin(*ids)).select(F.lit(PROJECT).alias("project"), F.col("n_name").alias("id"))
     stations = t.table("nation").select(F.lit(PROJECT).alias("project"), F.col("n_name").alias("id"))
-    return graph.trace(one("NATION_1"), t.nation_links, stations, one("NATION_7", "NATION_13")).select("project", "start", "node", "depth", "is_port")
+    return graph.trace(stations, t.nation_links, stations, one("NATION_7", "NATION_13")).select("project", "start", "node", "depth", "is_port")
 
 
 _BACK = """
-, back AS (SELECT 'NATION_3' AS node, 0 AS depth UNION SELECT l.a, depth + 1 FROM back JOIN nation_links l ON l.b = back.node WHERE depth < 30)
-SELECT node, min(depth)::INTEGER AS depth, min(depth) = 1 AS direct FROM back WHERE node <> 'NATION_3' GROUP BY node"""
+, back AS (SELECT n_name AS node, 0 AS depth FROM nation WHERE n_nationkey % 4 = 1 UNION SELECT l.a, depth + 1 FROM back JOIN nation_links l ON l.b = back.node WHERE depth < 30)
+SELECT node, min(depth)::INTEGER AS depth, min(depth) = 1 AS direct FROM back WHERE node NOT IN (SELECT n_name FROM nation WHERE n_nationkey % 4 = 1) GROUP BY node"""
 
 
 @query("nation_links", sql_body=_BACK)
 def reverse_reach(t: Trade) -> DataFrame:
-    changed = t.table("nation").where("n_name = 'NATION_3'").select(F.lit(PROJECT).alias("project"), F.col("n_name").alias("id"))
+    changed = t.table("nation").where("n_nationkey % 4 = 1").select(F.lit(PROJECT).alias("project"), F.col("n_name").alias("id"))
     return impact.reverse_reach(changed, t.nation_links).select("project", "node", "depth", "direct")
 
 
 _COMPONENTS = """
-, u AS (SELECT a, b FROM nation_links UNION SELECT b, a FROM nation_links), r AS (SELECT a AS node, a AS at FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.at)
-SELECT node, min(at) AS root FROM r GROUP BY node"""
+, u AS (SELECT a, b FROM nation_links UNION SELECT b, a FROM nation_links), r AS (SELECT a AS node, a AS cur FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.cur)
+SELECT node, min(cur) AS root FROM r GROUP BY node"""
 
 
 @query("nation_links", sql_body=_COMPONENTS)
@@ -384,9 +392,9 @@ def _touched(t: Trade) -> DataFrame:
 
 
 _LCOM = """
-, r AS (SELECT type, 'm' || method AS node, 'm' || method AS at FROM touches UNION SELECT DISTINCT type, field, field FROM touches
-  UNION SELECT r.type, r.node, CASE WHEN starts_with(r.at, 'm') THEN t.field ELSE 'm' || t.method END FROM r JOIN touches t ON t.type = r.type AND (r.at = 'm' || t.method OR r.at = t.field))
-SELECT type, count(DISTINCT root)::INTEGER AS lcom4 FROM (SELECT type, node, min(at) AS root FROM r GROUP BY type, node) GROUP BY type"""
+, r AS (SELECT type, 'm' || method AS node, 'm' || method AS cur FROM touches UNION SELECT DISTINCT type, field, field FROM touches
+  UNION SELECT r.type, r.node, CASE WHEN starts_with(r.cur, 'm') THEN t.field ELSE 'm' || t.method END FROM r JOIN touches t ON t.type = r.type AND (r.cur = 'm' || t.method OR r.cur = t.field))
+SELECT type, count(DISTINCT root)::INTEGER AS lcom4 FROM (SELECT type, node, min(cur) AS root FROM r GROUP BY type, node) GROUP BY type"""
 
 
 @query("touches", sql_body=_LCOM)
@@ -659,8 +667,8 @@ def design_matrix(t: Trade) -> DataFrame:
     return cochange.design_matrix(_pairs(t), places)
 
 
-_RISK = _PAIRS + """, ch AS (SELECT unnest(['Brand#1', 'Brand#2', 'Brand#7']) AS path), both AS (SELECT a AS path, b AS other FROM pairs UNION ALL SELECT b, a FROM pairs)
-SELECT ch.path, r.rank, coalesce((SELECT string_agg(DISTINCT other, ',' ORDER BY other) FROM both WHERE both.path = ch.path AND other NOT IN (SELECT path FROM ch)), '') AS missing, ch.path = 'Brand#2' AS tested
+_RISK = _PAIRS + """, ch AS (SELECT unnest(['Brand#1', 'Brand#2', 'Brand#7']) AS path), pr AS (SELECT a AS path, b AS other FROM pairs UNION ALL SELECT b, a FROM pairs)
+SELECT ch.path, r.rank, coalesce((SELECT string_agg(DISTINCT other, ',' ORDER BY other) FROM pr WHERE pr.path = ch.path AND other NOT IN (SELECT path FROM ch)), '') AS missing, ch.path = 'Brand#2' AS tested
 FROM ch LEFT JOIN (SELECT path, row_number() OVER (ORDER BY score DESC, path)::INTEGER AS rank FROM churn) r USING (path)"""
 
 

@@ -25,7 +25,8 @@ def quiet_batches(changes: DataFrame, quiet_seconds: float) -> DataFrame:
     """key, batch, first_ts, last_ts, n for changes (key, ts, ord): changes closer than
     quiet_seconds belong together; a batch is over after that much quiet."""
     order = W.partitionBy("key").orderBy("ts", "ord")
-    gap = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(order))
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    gap = micros(F.col("ts")) - micros(F.lag("ts").over(order))
     new = F.when(gap <= int(quiet_seconds * 1_000_000), 0).otherwise(1)
     numbered = changes.withColumn("_new", new).withColumn("batch", F.sum("_new").over(order))
     return numbered.groupBy("key", "batch").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
