@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 #: Pieces that a worker remembers, and the longest of them in characters.
 REMEMBERED, REMEMBERED_CHARS = 400_000, 48
+#: Pieces of at most so many bytes are merged together with others of like length.
+LONGEST_TOGETHER = 64
+#: Texts are encoded together up to so many characters.
+TOGETHER_CHARS = 1_000_000
 
 
 class ByteBPE:
@@ -23,7 +27,8 @@ class ByteBPE:
     among equals. The leaves of a segment tree are the byte positions; leaf i holds the rank of
     the pair that starts at i together with i, so the root is the leftmost minimum. A merge
     changes three leaves (its own, the swallowed one, the live neighbour before), each in a
-    logarithmic number of steps, so that a piece of n bytes takes O(n log n).
+    logarithmic number of steps, so that a piece of n bytes takes O(n log n). Short pieces run
+    through the same steps in arrays, thousands at a time.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
@@ -33,6 +38,8 @@ class ByteBPE:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.known: dict[str, bytes] = {}
+        self.byte_ranks = np.array([ranks.get(bytes([i]), -1) for i in range(256)])
+        self.pair_keys: np.ndarray | None = None
 
     @classmethod
     def load(cls, path: str, pattern: str) -> ByteBPE:
@@ -94,24 +101,104 @@ class ByteBPE:
             i = after[i]
         return out
 
+    def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of tokens, -1 where they make none."""
+        if self.pair_keys is None:
+            ranks, keys, merged = self.ranks, [], []
+            for token, rank in ranks.items():
+                for cut in range(1, len(token)):
+                    a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
+                    if a is not None and b is not None:
+                        keys.append(a << 32 | b)
+                        merged.append(rank)
+            order = np.argsort(np.array(keys, np.int64))
+            self.pair_keys, self.pair_values = np.array(keys, np.int64)[order], np.array(merged, np.int64)[order]
+        wanted = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, wanted), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == wanted, self.pair_values[at], -1) if len(self.pair_keys) else np.full(len(left), -1)
+
+    def _merge_alike(self, pieces: list[bytes], base: int) -> list[bytes]:
+        """merge() for pieces of at most `base` bytes at once, as packed int32: a row of arrays for
+        each piece, a tree in each row, and every round does the next merge of every piece."""
+        n, width = len(pieces), base.bit_length() - 1
+        never = np.iinfo(np.int64).max
+        lengths = np.fromiter(map(len, pieces), np.int64, n)
+        raw = np.frombuffer(b"".join(p.ljust(base, b"\0") for p in pieces), np.uint8).reshape(n, base)
+        places = np.arange(base)
+        ids = np.where(places < lengths[:, None], self.byte_ranks[raw], -1)
+        after = np.minimum(np.broadcast_to(places + 1, (n, base)), lengths[:, None])
+        after = np.concatenate([after, lengths[:, None]], axis=1)
+        before = np.broadcast_to(np.arange(-1, base), (n, base + 1)).copy()
+        tree = np.full((n, 2 * base), never)
+        row, col = np.nonzero(ids[:, 1:] >= 0)
+        rank = self._pair_ranks(ids[row, col], ids[row, col + 1])
+        tree[row, base + col] = np.where(rank >= 0, rank << width | col, never)
+        for k in range(base - 1, 0, -1):
+            tree[:, k] = np.minimum(tree[:, 2 * k], tree[:, 2 * k + 1])
+        flat = tree.reshape(-1)
+        live = np.flatnonzero(tree[:, 1] != never)
+        while len(live):
+            top = tree[live, 1]
+            i = top & (base - 1)
+            j = after[live, i]
+            k = after[live, j]
+            ids[live, i], ids[live, j] = top >> width, -1
+            after[live, i], before[live, k] = k, i
+            h = before[live, i]
+            behind, ahead = k < lengths[live], h >= 0
+            value = np.full((len(live), 3), never)
+            new = self._pair_ranks(ids[live[behind], i[behind]], ids[live[behind], k[behind]])
+            value[behind, 1] = np.where(new >= 0, new << width | i[behind], never)
+            new = self._pair_ranks(ids[live[ahead], h[ahead]], ids[live[ahead], i[ahead]])
+            value[ahead, 2] = np.where(new >= 0, new << width | h[ahead], never)
+            value[~ahead, 2] = value[~ahead, 1]
+            at = np.stack([j, i, np.where(ahead, h, i)], axis=1) + base
+            start = (live * 2 * base)[:, None]
+            flat[start + at] = value
+            for _ in range(width):
+                at >>= 1
+                flat[start + at] = np.minimum(flat[start + 2 * at], flat[start + 2 * at + 1])
+            live = live[tree[live, 1] != never]
+        kept = ids >= 0
+        data, ends = ids[kept].astype(np.int32).tobytes(), (np.cumsum(kept.sum(axis=1)) * 4).tolist()
+        return [data[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+
+    def merge_many(self, pieces: list[str]) -> dict[str, bytes]:
+        """Packed ids of distinct pieces: whole tokens first, then classes of like length together."""
+        out: dict[str, bytes] = {}
+        classes: dict[int, list[tuple[str, bytes]]] = {}
+        for piece in pieces:
+            raw = piece.encode()
+            whole = self.ranks.get(raw)
+            if whole is not None:
+                out[piece] = whole.to_bytes(4, "little")
+            elif len(raw) > LONGEST_TOGETHER:
+                out[piece] = np.array(self.merge(raw), np.int32).tobytes()
+            else:
+                classes.setdefault(1 << (len(raw) - 1).bit_length(), []).append((piece, raw))
+        for base, members in classes.items():
+            for k in range(0, len(members), 8192):
+                part = members[k : k + 8192]
+                out.update(zip((p for p, _ in part), self._merge_alike([r for _, r in part], base), strict=True))
+        return out
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts, as int32."""
+        get = self.known.get
+        cut = [self.pieces(text) for text in texts]
+        found = [[get(p) for p in pieces] for pieces in cut]
+        lacking = [k for k, packed in enumerate(found) if None in packed]
+        if lacking:
+            new = self.merge_many(list({p for k in lacking for p, packed in zip(cut[k], found[k], strict=True) if packed is None}))
+            for k in lacking:
+                found[k] = [new[p] if packed is None else packed for p, packed in zip(cut[k], found[k], strict=True)]
+            if len(self.known) + len(new) > REMEMBERED:
+                self.known.clear()
+            self.known.update((p, x) for p, x in new.items() if len(p) <= REMEMBERED_CHARS)
+        return [np.frombuffer(b"".join(packed), np.int32) for packed in found]
+
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a whole text, as int32."""
-        pieces, known = self.pieces(text), self.known
-        get, new = known.get, None
-        found = [get(p) for p in pieces]
-        if None in found:
-            new = {}
-            for k, packed in enumerate(found):
-                if packed is None:
-                    piece = pieces[k]
-                    packed = new.get(piece)
-                    if packed is None:
-                        packed = new[piece] = np.array(self.merge(piece.encode()), np.int32).tobytes()
-                    found[k] = packed
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-            known.update((p, x) for p, x in new.items() if len(p) <= REMEMBERED_CHARS)
-        return np.frombuffer(b"".join(found), np.int32)
+        return self.encode_many([text])[0]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -138,9 +225,11 @@ def tokenise(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [bpe.encode(text or "") for text in part.column(1).to_pylist()]
+            sizes = np.cumsum([len(t or "") for t in batch.column(1).to_pylist()]) // TOGETHER_CHARS
+            starts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+            for at, end in zip(starts, starts[1:], strict=False):
+                part = batch.slice(at, end - at)
+                ids = bpe.encode_many([text or "" for text in part.column(1).to_pylist()])
                 ends = np.cumsum([0, *map(len, ids)])
                 column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), column, pa.array([bpe.decode(x.tolist()) for x in ids], pa.binary())], ["doc_id", "ids", "decoded"])
