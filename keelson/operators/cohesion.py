@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import Window as W
 
 from ..functions import capitalise
 from ..schema import Model
-from .graph import greedy_communities
+from .graph import greedy_merge
 from .links import first_by_id
 
 TRIVIAL_FIELDS, TRIVIAL_METHODS, WIDE_FIELDS, STRONG_Q = 5, 3, 12, 0.30
@@ -107,27 +108,23 @@ def one_type(fields: list[str], methods: list[str], touch: list[list[str]], call
     every = set(range(len(methods)))
     called = {c for cs in calls for c in cs}
     live = {i for i in every if touch[i] or calls[i] or methods[i] in called}
-    weights: dict[tuple[int, int], float] = {}
-    for a in range(len(methods)):
-        for b in range(a + 1, len(methods)):
-            w = len(set(touch[a]) & set(touch[b])) + (methods[b] in calls[a] or methods[a] in calls[b])
-            if w:
-                weights[a, b] = float(w)
-    label = greedy_communities(sorted(every), weights)
-    total = sum(weights.values())
-    q = 0.0
+    uses = np.zeros((len(methods), len(fields)))
+    asks = np.zeros((len(methods), len(methods)), bool)
+    for i in every:
+        uses[i, [at_f[f] for f in set(touch[i])]] = 1
+        asks[i] = [m in calls[i] for m in methods] if calls[i] else False
+    table = uses @ uses.T + (asks | asks.T)
+    np.fill_diagonal(table, 0)
+    label = greedy_merge(table)
+    total, q = table.sum() / 2, 0.0
+    names = sorted(set(label.tolist()))
     if total:
-        degree: dict[int, float] = {}
-        inside: dict[int, float] = {}
-        for (a, b), w in weights.items():
-            degree[label[a]] = degree.get(label[a], 0.0) + w
-            degree[label[b]] = degree.get(label[b], 0.0) + w
-            if label[a] == label[b]:
-                inside[label[a]] = inside.get(label[a], 0.0) + w
-        q = sum(inside.get(c, 0.0) / total - (d / (2 * total)) ** 2 for c, d in sorted(degree.items()))
-    groups = [[m for m in sorted(every) if label[m] == c] for c in sorted(set(label.values()))]
+        for c in names:
+            own = label == c
+            q += table[np.ix_(own, own)].sum() / 2 / total - (table[own].sum() / (2 * total)) ** 2
+    groups = [np.flatnonzero(label == c).tolist() for c in names]
     touched = {at_f[f] for t in touch for f in t}
-    return {"lcom4": parts(set(range(len(fields))), every), "lcom4_core": parts(touched, live), "modularity": q, "groups": groups}
+    return {"lcom4": parts(set(range(len(fields))), every), "lcom4_core": parts(touched, live), "modularity": float(q), "groups": groups}
 
 
 def verdict(fields: Column, methods: Column, core: Column, q: Column, tainted: Column) -> Column:

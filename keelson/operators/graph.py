@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,35 +92,49 @@ def modularity(weights: DataFrame, communities: DataFrame) -> DataFrame:
 def greedy_communities(nodes: list, weights: dict[tuple, float]) -> dict:
     """Communities by greedy merging: the pair with the largest gain first, ties to the smallest.
 
-    A merge of x and y gains w / m - d_x d_y / (2 m^2); the merged community keeps the smaller
-    name; it ends when no gain exceeds 1e-12.
+    A merge of linked x and y gains w / m - d_x d_y / (2 m^2); the merged community keeps the
+    smaller name; it ends when no gain exceeds 1e-12.
     """
-    label = {n: n for n in nodes}
-    m = sum(weights.values())
+    names = sorted(nodes)
+    place = {n: i for i, n in enumerate(names)}
+    table = np.zeros((len(names), len(names)))
+    for (a, b), w in weights.items():
+        table[place[a], place[b]] += w
+    merged = greedy_merge(table + table.T)
+    return {n: names[merged[place[n]]] for n in nodes}
+
+
+def greedy_merge(table: np.ndarray) -> np.ndarray:
+    """greedy_communities() on a symmetric table of weights: the community of each row."""
+    n = len(table)
+    label, degree, m = np.arange(n), table.sum(axis=1), table.sum() / 2
     if not m:
         return label
-    between, degree = dict(weights), dict.fromkeys(nodes, 0.0)
-    for (a, b), w in weights.items():
-        degree[a] += w
-        degree[b] += w
+    table = np.triu(table, 1)  # row < column throughout
+    gain = np.where(table > 0, table / m - degree[:, None] * degree[None, :] / (2 * m * m), -1.0)
+    best, at = gain.max(axis=1), gain.argmax(axis=1)  # of each row; the first of the largest
     while True:
-        best, pair = 1e-12, None
-        for (x, y), w in sorted(between.items()):
-            gain = w / m - degree[x] * degree[y] / (2 * m * m)
-            if gain > best:
-                best, pair = gain, (x, y)
-        if pair is None:
+        x = int(best.argmax())
+        y = int(at[x])
+        if best[x] <= 1e-12:
             return label
-        x, y = pair
-        merged: dict[tuple, float] = {}
-        for (a, b), w in between.items():
-            a, b = (x if a == y else a), (x if b == y else b)
-            if a != b:
-                key = (a, b) if a < b else (b, a)
-                merged[key] = merged.get(key, 0.0) + w
-        between = merged
-        degree[x] += degree.pop(y)
-        label = {n: x if c == y else c for n, c in label.items()}
+        ends = table[y] + table[:, y]
+        table[y], table[:, y], ends[x] = 0, 0, 0
+        table[x, x + 1 :] += ends[x + 1 :]
+        table[:x, x] += ends[:x]
+        degree[x], degree[y] = degree[x] + degree[y], 0
+        label[label == y] = x
+        scale = degree[x] * degree / (2 * m * m)
+        gain[y], gain[:, y] = -1.0, -1.0
+        gain[x] = np.where(table[x] > 0, table[x] / m - scale, -1.0)
+        gain[:x, x] = np.where(table[:x, x] > 0, table[:x, x] / m - scale[:x], -1.0)
+        # a row is looked through again only if its best link was to x or y
+        again = np.flatnonzero((at == x) | (at == y))
+        again = np.union1d(again, [x, y])
+        best[again], at[again] = gain[again].max(axis=1), gain[again].argmax(axis=1)
+        near = gain[:x, x]
+        better = np.flatnonzero((near > best[:x]) | ((near == best[:x]) & (x < at[:x])))
+        best[better], at[better] = near[better], x
 
 
 def communities(weights: DataFrame, keys: list[str]) -> DataFrame:
