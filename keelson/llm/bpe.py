@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces that a worker remembers, and the longest of them in characters.
-REMEMBERED, REMEMBERED_CHARS = 400_000, 48
+REMEMBERED, REMEMBERED_CHARS = 200_000, 48
 #: Pieces of at most so many bytes are merged together with others of like length.
 LONGEST_TOGETHER = 64
 #: Texts are encoded together up to so many characters.
-TOGETHER_CHARS = 1_000_000
+TOGETHER_CHARS = 400_000
 
 
 class ByteBPE:
@@ -177,8 +177,8 @@ class ByteBPE:
             else:
                 classes.setdefault(1 << (len(raw) - 1).bit_length(), []).append((piece, raw))
         for base, members in classes.items():
-            for k in range(0, len(members), 8192):
-                part = members[k : k + 8192]
+            for k in range(0, len(members), 2048):
+                part = members[k : k + 2048]
                 out.update(zip((p for p, _ in part), self._merge_alike([r for _, r in part], base), strict=True))
         return out
 
