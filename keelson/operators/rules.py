@@ -273,7 +273,14 @@ class Evaluation:
     # -- the report
 
     def instances(self, only: tuple[str, ...] = ()) -> DataFrame:
-        """project, rule, from_id, to_id, file, line, detail of all rules, or of those named."""
+        """project, rule, from_id, to_id, file, line, detail of all rules (written once), or of those named."""
+        return self._union(only) if only else self._all
+
+    @cached_property
+    def _all(self) -> DataFrame:
+        return cut(self._union(()))
+
+    def _union(self, only: tuple[str, ...]) -> DataFrame:
         makers = {r.id: getattr(self, r.id.replace("-", "_"), None) for r in RULES}
         makers["domain-no-application"] = lambda: self.layer_reference("domain-no-application", "domain", "application")
         makers["infra-no-application"] = lambda: self.layer_reference("infra-no-application", "infrastructure", "application")
