@@ -197,3 +197,27 @@ def test_passages(spark):
     assert all(texts[i][s:e] == shared for i, (s, e) in spans.items())
     assert next((r.start_word, r.end_word) for r in found if r.doc_id == 6) == (30, 630)
     assert substring.repeated_passages(docs.limit(0)).count() == 0
+
+
+def linked(a, b):
+    """Spans of the passages found between two lists of words, without Spark."""
+    (p, h), (q, g) = (substring.seeds(substring.word_hashes(" ".join(x))) for x in (a, b))
+    met = np.array([(i, j) for i, x in zip(p, h, strict=True) for j, y in zip(q, g, strict=True) if x == y], np.int64).reshape(-1, 2)
+    brief = [(substring.word_hashes(" ".join(x)) >> np.uint64(48)).astype("<u2") for x in (a, b)]
+    return [s for pos, other in substring.passages(met[:, 0], met[:, 1]) for s in substring.spans(*brief, pos, other, substring.SIMILARITY, substring.MIN_WORDS)]
+
+
+@pytest.mark.parametrize("first,gap,inserted,second,parts", [(55, 25, 0, 30, 1), (55, 28, 0, 55, 2), (60, 25, 25, 30, 1), (60, 0, 0, 0, 1)])
+def test_parts_of_joint_chains(first, gap, inserted, second, parts):
+    draw = random.Random(first + gap + second)
+    fresh = lambda n: [f"w{draw.randint(0, 10**9)}" for _ in range(n)]
+    for _ in range(40):
+        x, y = fresh(first), fresh(second)
+        a, b = fresh(70) + x + fresh(gap) + y + fresh(70), fresh(40) + x + (fresh(gap) if not inserted else []) + y + fresh(70)
+        found = linked(a, b)
+        if parts == 1:
+            assert any(s <= 70 and e >= 70 + first for s, e, *_ in found)
+        else:
+            assert all(any(s <= at and e >= at + n for s, e, *_ in found) for at, n in ((70, first), (70 + first + gap, second)))
+        for s, e, t, u, like in found:
+            assert min(e - s, u - t) > substring.MIN_WORDS and like >= substring.SIMILARITY
