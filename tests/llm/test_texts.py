@@ -203,6 +203,8 @@ def linked(a, b):
     """Spans of the passages found between two lists of words, without Spark."""
     (p, h), (q, g) = (substring.seeds(substring.word_hashes(" ".join(x))) for x in (a, b))
     met = np.array([(i, j) for i, x in zip(p, h, strict=True) for j, y in zip(q, g, strict=True) if x == y], np.int64).reshape(-1, 2)
+    if not len(met):
+        return []
     brief = [(substring.word_hashes(" ".join(x)) >> np.uint64(48)).astype("<u2") for x in (a, b)]
     return [s for pos, other in substring.passages(met[:, 0], met[:, 1]) for s in substring.spans(*brief, pos, other, substring.SIMILARITY, substring.MIN_WORDS)]
 
@@ -221,3 +223,17 @@ def test_parts_of_joint_chains(first, gap, inserted, second, parts):
             assert all(any(s <= at and e >= at + n for s, e, *_ in found) for at, n in ((70, first), (70 + first + gap, second)))
         for s, e, t, u, like in found:
             assert min(e - s, u - t) > substring.MIN_WORDS and like >= substring.SIMILARITY
+
+
+def test_short_passages_with_many_changes():
+    draw = random.Random(11)
+    fresh = lambda n: [f"w{draw.randint(0, 10**9)}" for _ in range(n)]
+    for n, changed, least in ((51, 0.15, 57), (55, 0.18, 57), (60, 0.18, 57), (80, 0.18, 57), (55, None, 42)):  # None: every fifth word
+        found = 0
+        for _ in range(60):
+            a = fresh(n)
+            b = a[:]
+            for k in draw.sample(range(1, n - 1), int(n * changed)) if changed else range(4, n, 5):
+                b[k] = fresh(1)[0]
+            found += bool(linked(fresh(70) + a + fresh(70), fresh(45) + b + fresh(70)))
+        assert found >= least, (n, changed, found)
