@@ -237,3 +237,22 @@ def test_short_passages_with_many_changes():
                 b[k] = fresh(1)[0]
             found += bool(linked(fresh(70) + a + fresh(70), fresh(45) + b + fresh(70)))
         assert found >= least, (n, changed, found)
+
+
+@pytest.mark.parametrize("lines,size", [(2, 30), (3, 20), (5, 12)])
+def test_passages_of_frequent_lines(spark, lines, size, monkeypatch):
+    """Each line of the shared passages is in other documents before and in between."""
+    monkeypatch.setattr(substring, "FREQUENT", 3)
+    draw = random.Random(lines)
+    fresh = lambda n: [f"w{draw.randint(0, 10**9)}" for _ in range(n)]
+    rows, want = [], set()
+    for k in range(30):
+        parts = [fresh(size) for _ in range(lines)]
+        alone = lambda: [fresh(50) + p + fresh(50) for p in parts]  # noqa: B023, E731
+        both = [fresh(20) + sum(parts, []) + fresh(20) for _ in range(2)]
+        block = [*alone(), both[0], *alone(), both[1], *alone()]
+        want |= {len(rows) + lines, len(rows) + 2 * lines + 1}
+        rows += block
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").coalesce(1)
+    found = substring.repeated_passages(docs).collect()
+    assert {r.doc_id for r in found} == want
