@@ -32,7 +32,7 @@ IDENTIFIERS = (
     "connection connectionString server hostname port timeout retry version default production staging development test "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0123456789abcdef "
 )
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,200}(?![A-Za-z0-9+/_=-])")
+_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-][A-Za-z0-9+/_=-]{15,}")  # may follow a "="
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 #: How far before a candidate a context word may end, and how much text before it primes the compressor.
 REACH, BEFORE = 40, 400
@@ -77,13 +77,11 @@ def novel_spans(text: str, lowered: str, taken: list[tuple[int, int, int]], nove
     near.sort()
     done = 0
     for end in near:
-        for m in _CANDIDATE.finditer(text, max(end, done), min(len(text), end + REACH + 200)):
-            if m.start() - end > REACH:
-                break
+        # a candidate starts in reach, and is taken to the end of its run
+        while start := _CANDIDATE.search(text, max(end, done), min(len(text), end + REACH + 16)):
+            m = _CANDIDATE.match(text, start.start())
             done = m.end()
             found = m[0]
-            if m.start() > 0 and not _CANDIDATE.match(text, m.start()):
-                continue
             if sum(c.isdigit() for c in found) < 3 or sum(c.isalpha() for c in found) < 3:
                 continue
             if any(s < m.end() and m.start() < e for s, _, e in taken):

@@ -256,3 +256,12 @@ def test_passages_of_frequent_lines(spark, lines, size, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").coalesce(1)
     found = substring.repeated_passages(docs).collect()
     assert {r.doc_id for r in found} == want
+
+
+def test_long_secrets():
+    draw = random.Random(8)
+    key = "".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1600))
+    novelty = secrets.Novelty()
+    for before, size in (("private_key=", 1600), ("Authorization: Bearer ", 250), ("Authorization: Bearer ", 200), ("credential ", 201)):
+        text = f"{before}{key[:size]} and further text"
+        assert (len(before), 3, len(before) + size) in secrets.find_secrets(text, novelty)
