@@ -33,6 +33,8 @@ IDENTIFIERS = (
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0123456789abcdef "
 )
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-][A-Za-z0-9+/_=-]{15,}")  # may follow a "="
+#: Words in one case or in camel case, and the marks that join them to identifiers.
+_WORDLIKE, _MARKS = re.compile(r"[A-Z]*|[a-z]*(?:[A-Z][a-z]{2,})*"), re.compile(r"[+/_=-]+")
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 #: How far before a candidate a context word may end, and how much text before it primes the compressor.
 REACH, BEFORE = 40, 400
@@ -67,9 +69,18 @@ def base_spans(text: str, lowered: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _secret_shape(found: str) -> bool:
+    """A letter, and a digit or both cases, unless camel case or marks make words of it; novelty decides the rest."""
+    if any(c.isdigit() for c in found):
+        return any(c.isalpha() for c in found)
+    if not (any(c.isupper() for c in found) and any(c.islower() for c in found)):
+        return False
+    return not all(_WORDLIKE.fullmatch(w) for w in _MARKS.split(found))
+
+
 def novel_spans(text: str, lowered: str, taken: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of further strings: close behind a sensitive word, mixed letters and
-    digits, outside of what is taken, and incompressible after identifiers and surroundings."""
+    """(start, kind, end) of further strings: close behind a sensitive word, of mixed letters
+    or with digits, outside of what is taken, and incompressible after identifiers and surroundings."""
     out = []
     near = [m.end() for w in CONTEXT_WORDS if w in lowered for m in re.finditer(re.escape(w), lowered)]
     if not near:
@@ -82,7 +93,7 @@ def novel_spans(text: str, lowered: str, taken: list[tuple[int, int, int]], nove
             m = _CANDIDATE.match(text, start.start())
             done = m.end()
             found = m[0]
-            if sum(c.isdigit() for c in found) < 3 or sum(c.isalpha() for c in found) < 3:
+            if not _secret_shape(found):
                 continue
             if any(s < m.end() and m.start() < e for s, _, e in taken):
                 continue

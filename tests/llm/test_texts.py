@@ -265,3 +265,19 @@ def test_long_secrets():
     for before, size in (("private_key=", 1600), ("Authorization: Bearer ", 250), ("Authorization: Bearer ", 200), ("credential ", 201)):
         text = f"{before}{key[:size]} and further text"
         assert (len(before), 3, len(before) + size) in secrets.find_secrets(text, novelty)
+
+
+def test_secrets_with_few_digits():
+    draw = random.Random(9)
+    novelty = secrets.Novelty()
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for size in (16, 20, 32):
+        for digits in (0, 1, 2):
+            for _ in range(30):
+                key = [draw.choice(letters) for _ in range(size)]
+                for k in draw.sample(range(size), digits):
+                    key[k] = draw.choice("0123456789")
+                found = "".join(key)
+                assert (11, 3, 11 + size) in secrets.find_secrets(f"credential {found} end", novelty), found
+    for name in ("getUserAccountSettings", "a-long-hyphenated-name", "Path/Toward/SomeOther/Place", "UPPER_CASE_CONSTANT_NAME"):
+        assert not secrets.find_secrets(f"the auth {name} end", novelty)
