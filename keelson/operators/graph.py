@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,29 +15,25 @@ TRACE_DEPTH = 6
 MOST_ROUNDS = 200
 
 
-def _spread(frontier: DataFrame, links: DataFrame, most: int, stop: DataFrame | None = None) -> DataFrame:
-    """Nodes met from a frontier (project, start, node): rows project, start, node, depth.
+def _spread(frontier: DataFrame, links: DataFrame, most: int | None, stop: DataFrame | None = None) -> DataFrame:
+    """Nodes met from a frontier (project, start, node): rows project, start, node, depth; up to
+    `most` levels, or until nothing new is met.
 
     One join for each level; what was met before is left out by an anti join, so cycles end, and
     every level is written before the next, so the plan does not grow with the depth.
     """
     links = links.select("project", F.col("a").alias("node"), F.col("b").alias("next")).distinct()
-    seen = frontier.select("project", "start", "node").limit(0)
-    levels = []
-    for depth in range(1, most + 1):
+    seen = cut(frontier.select("project", "start", "node").withColumn("depth", F.lit(0)).limit(0))
+    for depth in count(1) if most is None else range(1, most + 1):
         met = frontier.join(links, ["project", "node"]).select("project", "start", F.col("next").alias("node")).distinct()
         met = cut(met.join(seen, ["project", "start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if met.isEmpty():
             break
-        levels.append(met)
-        seen = cut(seen.unionByName(met.select("project", "start", "node")))
+        seen = cut(seen.unionByName(met))
         frontier = met.select("project", "start", "node")
         if stop is not None:
             frontier = frontier.join(stop.select("project", "node"), ["project", "node"], "left_anti")
-    out = seen.withColumn("depth", F.lit(0)).limit(0)
-    for level in levels:
-        out = out.unionByName(level)
-    return out
+    return seen
 
 
 def trace(entries: DataFrame, links: DataFrame, stations: DataFrame, ports: DataFrame, depth: int = TRACE_DEPTH) -> DataFrame:
@@ -55,7 +53,7 @@ def dependents_of(changed: DataFrame, links: DataFrame) -> DataFrame:
     """project, node, depth: who depends on the changed nodes (project, id), directly (1) or not."""
     start = changed.select("project", F.lit("").alias("start"), F.col("id").alias("node"))
     back = links.select("project", F.col("b").alias("a"), F.col("a").alias("b"))
-    found = _spread(start, back, MOST_ROUNDS)
+    found = _spread(start, back, None)
     return found.join(changed.select("project", F.col("id").alias("node")), ["project", "node"], "left_anti").select("project", "node", "depth")
 
 

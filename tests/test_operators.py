@@ -126,3 +126,10 @@ def test_listing_fingerprint(spark):
 @pytest.mark.parametrize("text,want", [("my-tool_name", "My Tool Name"), ("x", "X"), ("aB-c", "AB C")])
 def test_title(spark, text, want):
     assert spark.range(1).select(fn.title_case(F.lit(text))).first()[0] == want
+
+
+def test_dependents_of_any_depth(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MOST_ROUNDS", 3)  # a bound of components() only
+    links = spark.createDataFrame([("p", f"n{k + 1}", f"n{k}") for k in range(7)], "project string, a string, b string")
+    changed = spark.createDataFrame([("p", "n0")], "project string, id string")
+    assert sorted(tuple(r) for r in graph.dependents_of(changed, links).collect()) == [("p", f"n{k}", k) for k in range(1, 8)]
