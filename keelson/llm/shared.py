@@ -42,7 +42,30 @@ def materialise(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     if not _written:
         atexit.register(release)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._keelson_path = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    path = hadoop.Path(path)
+    path.getFileSystem(conf).delete(path, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table of materialise() that nothing reads any more."""
+    if table._keelson_path in _written:
+        _written.remove(table._keelson_path)
+        _delete(table.sparkSession, table._keelson_path)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def release(spark: SparkSession | None = None) -> None:
@@ -50,10 +73,8 @@ def release(spark: SparkSession | None = None) -> None:
     spark = spark or SparkSession.getActiveSession()
     if spark is None or spark.sparkContext._jsc is None:
         return
-    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
     while _written:
-        path = hadoop.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _written.pop())
 
 
 def whole(text: Column) -> Column:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -14,15 +14,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .components import components
-from .shared import materialise
+from .shared import discard, materialise, unused
 
 WORDS = 4
 #: Fingerprints that differ in at most so many bits are linked.
 RADIUS = 4
 BITS = 64
-LEAF = 64
-#: A cell with more fingerprints than this is cut into rings around a vantage point.
-RING_CELL = 200_000
+#: Parts of the bits, each with trees of its own: two fingerprints within RADIUS are within
+#: RADIUS // PARTS of one another in at least one of them.
+PARTS = 3
+#: Points of a leaf, and of a shard that is not cut into rings.
+LEAF, SHARD_POINTS = 64, 1 << 17
+#: Rounds of cutting; shards that are large then still are searched whole.
+MOST_LEVELS = 64
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -76,17 +80,26 @@ class _Unions:
             np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
 
 
-def vantage_links(points: np.ndarray, radius: int = RADIUS, leaf: int = LEAF) -> np.ndarray:
+def part_masks(parts: int = PARTS) -> list[int]:
+    ends = [-(-BITS * k // parts) for k in range(parts + 1)]
+    return [(1 << b) - (1 << a) for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def vantage_links(points: np.ndarray, radius: int = RADIUS, leaf: int = LEAF, mask: int = (1 << BITS) - 1, bound: int | None = None, count: Counter | None = None) -> np.ndarray:
     """For distinct fingerprints, the index of the first member of each one's component.
 
-    The points are split at the median Hamming distance from a vantage point, again and again;
-    a query goes down a branch only if its own distance is within `radius` of the distances
-    found there (triangle bound), and a branch that lies wholly within `radius` of a query is
-    taken without a look at its points. All queries go down together, so each node is met
-    once. At a leaf, queries that are in its one component already are left out; that keeps
-    dense groups from being compared pair by pair.
+    Linked are those within `radius`, as far as they are within `bound` on the bits of mask too
+    (by default all bits, and no further bound). The points are split at the median Hamming
+    distance, on these bits, from a vantage point, again and again; a query goes down a branch
+    only if its own distance is within `bound` of the distances found there (triangle bound).
+    All queries go down together, so each node is met once. Queries that are in the one component
+    of a branch already are left out; that keeps dense groups from being compared pair by pair.
+    `count` is told how many nodes were cut, and how many queries went down or were pruned there.
     """
     n, unions = len(points), _Unions(len(points))
+    bound = radius if bound is None else bound
+    seen = points & np.uint64(mask)
+    count = Counter() if count is None else count
 
     def compare(queries: np.ndarray, own: np.ndarray) -> None:
         for k in range(0, len(queries), 8192):
@@ -103,7 +116,13 @@ def vantage_links(points: np.ndarray, radius: int = RADIUS, leaf: int = LEAF) ->
     todo = [(np.arange(n), np.arange(n))]
     while todo:
         own, queries = todo.pop()
+        roots = unions.find(own)
+        if len(own) and (roots == roots[0]).all():
+            queries = queries[unions.find(queries) != roots[0]]
+        if not len(queries):
+            continue
         if len(own) <= leaf:
+            count["leaves"] += 1
             compare(own, own)
             roots = unions.find(own)
             if (roots == roots[0]).all():
@@ -111,7 +130,7 @@ def vantage_links(points: np.ndarray, radius: int = RADIUS, leaf: int = LEAF) ->
             compare(queries, own)
             continue
         at = own[len(own) // 2]
-        d_own, d = np.bitwise_count(points[own] ^ points[at]).astype(np.int16), np.bitwise_count(points[queries] ^ points[at]).astype(np.int16)
+        d_own, d = np.bitwise_count(seen[own] ^ seen[at]).astype(np.int16), np.bitwise_count(seen[queries] ^ seen[at]).astype(np.int16)
         middle = np.partition(d_own, len(own) // 2)[len(own) // 2]
         inner = d_own <= middle
         if inner.all():
@@ -120,112 +139,97 @@ def vantage_links(points: np.ndarray, radius: int = RADIUS, leaf: int = LEAF) ->
             for k in range(0, len(own), leaf):
                 todo.append((own[k : k + leaf], queries))
             continue
+        count["cuts"] += 1
         for side in (inner, ~inner):
-            low, high = d_own[side].min(), d_own[side].max()
-            asked = (d >= low - radius) & (d <= high + radius)
-            within = asked & (d + high <= radius)
-            if within.any():
-                everything = own[side]
-                unions.link(everything, np.full(len(everything), at))
-                unions.link(queries[within], np.full(int(within.sum()), at))
-            todo.append((own[side], queries[asked & ~within]))
+            asked = (d >= d_own[side].min() - bound) & (d <= d_own[side].max() + bound)
+            count["asked"] += int(asked.sum())
+            count["pruned"] += int(len(asked) - asked.sum())
+            todo.append((own[side], queries[asked]))
     return unions.find(np.arange(n))
 
 
-def _cell_links(cells: np.ndarray, points: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links (a, b) within whole cells that stand one after the other."""
-    out = []
-    starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
-    sizes = np.diff(np.r_[starts, len(cells)])
-    for start, size in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist(), strict=True):
-        own = points[start : start + size]
-        roots = vantage_links(own, radius)
-        linked = roots != np.arange(size)
-        out.append((own[linked], own[roots[linked]]))
-    few = np.repeat(sizes <= LEAF, sizes)
-    cells, points = cells[few], points[few]
-    for step in range(1, min(LEAF, len(cells))):  # leaves of their own, all compared at once
-        same = np.flatnonzero(cells[step:] == cells[:-step])
-        if not len(same):
-            break
-        near = same[np.bitwise_count(points[same] ^ points[same + step]) <= radius]
-        out.append((points[near], points[near + step]))
-    return out
-
-
 def _linker(radius: int):
+    """Links (a, b) of shards that stand one after the other, sorted by shard."""
+    masks = part_masks()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_cells, held = [], []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def links(cells: np.ndarray, points: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for a, b in _cell_links(cells, points, radius):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        def links(shards: np.ndarray, parts: np.ndarray, points: np.ndarray) -> Iterator[pa.RecordBatch]:
+            starts = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]])
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(shards)], strict=True):
+                own = points[a:b]
+                roots = vantage_links(own, radius, LEAF, masks[parts[a]], radius // PARTS)
+                linked = roots != np.arange(len(own))
+                if linked.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(own[linked].view(np.int64)), pa.array(own[roots[linked]].view(np.int64))], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held_cells.append(batch.column(0).to_numpy())
-            held.append(batch.column(1).to_numpy().view(np.uint64))
-            if sum(map(len, held)) < 1 << 17:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)))
+            if held[0][0][0] == held[-1][0][-1] or sum(len(x[0]) for x in held) < SHARD_POINTS:
                 continue
-            cells, points = np.concatenate(held_cells), np.concatenate(held)
-            cut = int(np.searchsorted(cells, cells[-1]))  # the last cell may go on
-            if cut:
-                yield from links(cells[:cut], points[:cut])
-            held_cells, held = [cells[cut:]], [points[cut:]]
+            columns = list(map(np.concatenate, zip(*held, strict=True)))
+            cut = int(np.flatnonzero(columns[0] != columns[0][-1])[-1]) + 1  # the last shard may go on
+            yield from links(*(c[:cut] for c in columns))
+            held = [tuple(c[cut:] for c in columns)]
         if held:
-            yield from links(np.concatenate(held_cells), np.concatenate(held))
+            yield from links(*map(np.concatenate, zip(*held, strict=True)))
 
     return run
 
 
-def _blocks(n: int, radius: int) -> tuple[int, int]:
-    """Into how many bit blocks fingerprints are cut, and how many of them a cell fixes.
+def shards(points: DataFrame, radius: int = RADIUS, shard_points: int = SHARD_POINTS) -> DataFrame:
+    """shard, part, fp: for each part of the bits each fingerprint (column fp, distinct) in one
+    shard or more, so that two within `radius` meet in a shard of a part on which they are close.
 
-    Two fingerprints within `radius` agree in all but `radius` of the blocks. The fewest blocks
-    are taken whose cells hold about 2,000 of n evenly spread fingerprints.
+    A shard of over shard_points points is cut into rings by distance, on the bits of its part,
+    from a vantage point, one of its points. A ring is as wide as the distance of a close pair and
+    one more, so such a pair is in one ring or in two that touch; the points of a ring near its
+    inner boundary are in the ring below too. Rings that are too large are cut again around
+    points of their own, each round for all shards at once. Where the part's bits say no more,
+    distances on all bits do; what even those cannot cut lies within 2 * radius bits of a point,
+    of which there are only so many (under a million for a radius of 4).
     """
-    for blocks in range(radius + 1, radius + 5):
-        if n >> ((blocks - radius) * BITS // blocks) <= 2048:
+    masks = [m - (1 << BITS) if m >> (BITS - 1) else m for m in part_masks()]
+    bound = radius // PARTS
+    mask = F.element_at(F.array(*[F.lit(m).cast("long") for m in masks]), F.col("part") + 1)
+    rows = points.select(F.explode(F.array(*[F.lit(k) for k in range(PARTS)])).alias("part"), "fp")
+    rows = materialise(rows.select(F.xxhash64("part").alias("shard"), "part", F.lit(False).alias("done"), "fp"))
+    for level in range(MOST_LEVELS):
+        draw = F.xxhash64("fp", F.lit(level))
+        sizes = rows.where("not done").groupBy("shard").agg(F.count("*").alias("n"), F.min_by("fp", draw).alias("vantage"))
+        large = materialise(sizes.where(F.col("n") > shard_points).select("shard", "vantage"))
+        if large.isEmpty():
+            discard(large)
             break
-    return blocks, blocks - radius
-
-
-def _cells(points: DataFrame, n: int, radius: int, ring_cell: int) -> DataFrame:
-    """cell, fp: each fingerprint once for each choice of blocks; large cells cut into rings."""
-    blocks, fixed = _blocks(n, radius)
-    ends = [BITS * k // blocks for k in range(blocks + 1)]
-    masks = [sum((1 << ends[k + 1]) - (1 << ends[k]) for k in chosen) for chosen in combinations(range(blocks), fixed)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(signed)])
-    cells = points.select(F.explode(keys).alias("cell"), "fp")
-    if n <= ring_cell:  # no cell can be that large
-        return cells
-    large = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min_by("fp", F.xxhash64("fp")).alias("vantage")).where(F.col("n") > ring_cell)
-    cells = cells.join(materialise(large.select("cell", "vantage")), "cell", "left")
-    d, width = F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage"))), radius + 1
-    # who is in the lower part of a ring also is asked for in the ring below
-    rings = F.array_distinct(F.array(F.floor(d / width), F.floor(F.greatest(d - radius, F.lit(0)) / width)))
-    split = F.when(F.col("vantage").isNull(), F.array("cell")).otherwise(F.transform(rings, lambda r: F.xxhash64("cell", r)))
-    return cells.select(F.explode(split).alias("cell"), "fp")
-
-
-def link_fingerprints(points: DataFrame, radius: int = RADIUS, ring_cell: int = RING_CELL) -> DataFrame:
+        unlike = F.col("fp").bitwiseXOR(F.col("vantage"))
+        met = rows.join(large, "shard", "left").withColumns({"all": F.bit_count(unlike), "own": F.bit_count(unlike.bitwiseAND(mask))})
+        far = materialise(met.where("vantage is not null").groupBy("shard").agg((F.max("own") > 2 * bound).alias("by_part"), (F.max("all") > 2 * radius).alias("by_all")))
+        met = met.join(far, "shard", "left")
+        reach = F.when(F.col("by_part"), bound).otherwise(radius)
+        d = F.when(F.col("by_part"), F.col("own")).otherwise(F.col("all"))
+        ring = lambda x: F.floor(x / (reach + 1))  # noqa: B023, E731
+        rings = F.array_distinct(F.array(ring(d), ring(F.greatest(d - reach, F.lit(0)))))
+        cut = F.col("by_part") | F.col("by_all")
+        at = F.when(cut, F.transform(rings, lambda r: F.xxhash64("shard", F.lit(level), r))).otherwise(F.array("shard"))
+        new = materialise(met.select(F.explode(at).alias("shard"), "part", (F.col("done") | F.coalesce(~cut, F.lit(False))).alias("done"), "fp"))
+        for table in (rows, large, far):
+            discard(table)
+        rows = new
+    return rows.select("shard", "part", "fp")
+
+
+def link_fingerprints(points: DataFrame, radius: int = RADIUS, shard_points: int = SHARD_POINTS) -> DataFrame:
     """a, b: links that join exactly the fingerprints (column fp, distinct) within `radius`.
 
     Not every pair is listed, but two fingerprints are connected through these links if and
-    only if they are connected through pairs that differ in at most `radius` bits.
-
-    A tree over all 64 bits would send each query down both branches at almost every node, as
-    distances of unrelated fingerprints crowd at 32. So the topmost cut is made by distances in
-    some of the bits only: by the pigeonhole principle a near pair is at distance 0 in at least
-    one choice of blocks, so its shard is met without crossing any boundary. A shard that is
-    still too large is cut into rings by distance from a vantage point, and those close to a
-    ring's boundary are in both rings. In each shard, vantage-point trees find the exact pairs.
+    only if they are connected through pairs that differ in at most `radius` bits. Shards by
+    distance from vantage points (see shards()) hold every such pair; in each shard a
+    vantage-point tree finds the exact pairs (see vantage_links()).
     """
-    n = points.count()
-    dealt = _cells(points, n, radius, ring_cell).repartition("cell").sortWithinPartitions("cell")
+    dealt = shards(points, radius, shard_points).repartition("shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(_linker(radius), "a long, b long")
 
 
@@ -256,9 +260,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The first row (by doc_id, null last) of each component, with all columns of docs."""
-    rows = materialise(docs.withColumns({"_near_fp": fingerprint_udf(F.col(text_col).cast("string")), "_near_row": F.monotonically_increasing_id()}))
-    member = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_near_row").alias("row"))
-    found = _member_components(rows.select(F.col("_near_fp").alias("fp"), member.alias("member")), radius)
-    keep = found.select(F.col("first.row").alias("_near_row")).distinct()
-    return rows.join(keep, "_near_row", "left_semi").select(*docs.columns)
+    """The first row (by doc_id, null last) of each component, with all columns of docs.
+
+    Components are those of near_duplicates(): null and empty texts have fingerprint 0 and are
+    linked like any other. Of rows that repeat an id within a component exactly one stays. An
+    empty table gives none; columns of docs may have any names.
+    """
+    fp, row = unused(docs, "fp"), unused(docs, "row")
+    rows = materialise(docs.withColumns({fp: fingerprint_udf(F.col(text_col).cast("string")), row: F.monotonically_increasing_id()}))
+    member = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    found = _member_components(rows.select(F.col(fp).alias("fp"), member.alias("member")), radius)
+    keep = found.select(F.col("first.row").alias(row)).distinct()
+    return rows.join(keep, row, "left_semi").select(*docs.columns)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -79,7 +80,7 @@ def test_vantage_trees(copies, flips):
     assert (simhash.vantage_links(points) == slow_components(points)).all()
 
 
-def test_rings_of_large_cells(spark):
+def test_shards_too_dense_to_cut(spark):
     draw = np.random.default_rng(9)
     points = np.repeat(draw.integers(0, 1 << 62, 12).astype(np.uint64), 60)
     for _ in range(5):
@@ -94,12 +95,50 @@ def test_rings_of_large_cells(spark):
             i = up[i]
         return i
 
-    for r in simhash.link_fingerprints(df, ring_cell=5).collect():
+    for r in simhash.link_fingerprints(df, shard_points=5).collect():
         a, b = sorted((find(where[r.a]), find(where[r.b])))
         up[b] = a
     assert [find(i) for i in range(len(points))] == slow_components(points).tolist()
 
 
+def test_trees_carry_the_links(spark):
+    """On documents: every near pair meets in a shard cut from vantage points, boundary points are
+    in two shards, trees cut and prune, and what they link is what all pairs link."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    points = np.unique(np.array([simhash.fingerprint(r.text) for r in docs.collect()], np.int64).view(np.uint64))
+    df = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long")
+    shards, places = {}, {}
+    for r in simhash.shards(df, shard_points=100).collect():
+        shards.setdefault(r.shard, []).append(r.fp)
+        places.setdefault((r.part, r.fp), set()).add(r.shard)
+    assert len(places) == simhash.PARTS * len(points) and len(shards) > 10 * simhash.PARTS
+    assert sum(len(x) > 1 for x in places.values()) > len(points)  # in reach of a ring's boundary
+    near = np.argwhere(np.triu(np.bitwise_count(points[:, None] ^ points[None, :]) <= simhash.RADIUS, 1))
+    assert len(near)
+    for a, b in points.view(np.int64)[near].tolist():
+        assert any(places[part, a] & places[part, b] for part in range(simhash.PARTS))
+    count, label = Counter(), np.arange(len(points))
+    for mask in simhash.part_masks():
+        roots = simhash.vantage_links(points, mask=mask, bound=simhash.RADIUS // simhash.PARTS, count=count)
+        label = np.minimum(label, roots)
+    assert count["cuts"] > 3 * len(points) // simhash.LEAF and count["pruned"] > count["asked"] / 10
+    linked = {tuple(sorted((r.a, r.b))) for r in simhash.link_fingerprints(df, shard_points=100).collect()}
+    whole = simhash.link_fingerprints(df).collect()
+    for links in (linked, {(r.a, r.b) for r in whole}):
+        up = {int(p): int(p) for p in points.view(np.int64)}
+
+        def find(x, up=up):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in links:
+            up[find(a)] = find(b)
+        roots = [find(int(p)) for p in points.view(np.int64)]
+        slow = slow_components(points).tolist()
+        assert len(set(roots)) == len(set(slow)) == len(set(zip(roots, slow, strict=True)))
+
+
 def test_language(spark):
     draw = random.Random(1)
     words = {"en": ["the", "and", "thing", "ough", "wh"], "de": ["sch", "ung", "über", "ein", "ß"], "fr": ["eau", "ç", "que", "é", "ment"]}
@@ -169,15 +208,23 @@ def test_chains_by_brute_force():
         n = draw.randint(1, 9)
         pos, other = np.array([draw.randint(0, 60) for _ in range(n)]), np.array([draw.randint(0, 60) for _ in range(n)])
 
-        def best(chain):
-            last = chain[-1]
-            options = [substring.SEED_WORTH + sub for k in range(n) if pos[k] < pos[last] and other[k] < other[last] for sub in [best([*chain, k]) - substring.GAP_COST * max(0, (pos[last] - pos[k]) + (other[last] - other[k]) - 2 * substring.SEED_WORDS)] if sub > 0]
-            return max([substring.SEED_WORTH, *options])
+        def best(last):
+            """Worth of the best chain that ends in a match, over all its predecessors."""
+            options = [min(sub - substring.GAP_COST * (pos[last] - pos[k] + other[last] - other[k] - 2 * substring.SEED_WORDS), sub) for k in range(n) if pos[k] < pos[last] and other[k] < other[last] for sub in [best(k)]]
+            return substring.SEED_WORTH + max([0.0, *options])
+
+        def worth(chain):
+            steps = [min(0.0, -substring.GAP_COST * (pos[b] - pos[a] + other[b] - other[a] - 2 * substring.SEED_WORDS)) for a, b in zip(chain, chain[1:], strict=False)]
+            return substring.SEED_WORTH * len(chain) + sum(steps)
 
         found = substring.chains(pos, other)
         assert sorted(np.concatenate(found).tolist()) == list(range(n))
         for chain in found:
             assert (np.diff(pos[chain]) > 0).all() and (np.diff(other[chain]) > 0).all()
+        # the first chain is the best of all; each later one may only lose what earlier ones have taken
+        assert worth(found[0].tolist()) == pytest.approx(max(best(k) for k in range(n)))
+        for chain in found[1:]:
+            assert worth(chain.tolist()) <= best(int(chain[-1])) + 1e-9
 
 
 def test_passages(spark):
@@ -199,6 +246,37 @@ def test_passages(spark):
     assert substring.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_partitions_do_not_change_passages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = [sorted(map(str, substring.repeated_passages(d).collect())) for d in (docs, docs.repartition(7))]
+    assert found[0] and found[0] == found[1]
+
+
+def test_exact_passages_by_brute_force(spark):
+    """Every word of every exact passage of 51 words that two rows share lies in a span found there."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    size, where = substring.MIN_WORDS + 1, {}
+    words = {r.doc_id: (r.text or "").lower().split() for r in docs}
+    for i, w in words.items():
+        for k in range(len(w) - size + 1):
+            where.setdefault(hash(tuple(w[k : k + size])), set()).add(i)
+    found = {}
+    for r in substring.repeated_passages(spark.createDataFrame([(r.doc_id, r.text) for r in docs], "doc_id long, text string")).collect():
+        found.setdefault(r.doc_id, []).append((r.start_word, r.end_word))
+    wanted = missed = 0
+    for i, w in words.items():
+        shared = np.zeros(len(w), bool)
+        for k in range(len(w) - size + 1):
+            if len(where[hash(tuple(w[k : k + size]))]) > 1:
+                shared[k : k + size] = True
+        covered = np.zeros(len(w), bool)
+        for s, e in found.get(i, []):
+            covered[s:e] = True
+        wanted, missed = wanted + int(shared.sum()), missed + int((shared & ~covered).sum())
+        assert not shared.any() or i in found
+    assert wanted > 10_000 and missed <= 0.003 * wanted, (wanted, missed)
+
+
 def linked(a, b):
     """Spans of the passages found between two lists of words, without Spark."""
     (p, h), (q, g) = (substring.seeds(substring.word_hashes(" ".join(x))) for x in (a, b))
