@@ -44,13 +44,56 @@ def test_nearest(spark, shard_rows):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
-def test_recall_on_embeddings(spark):
-    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+@pytest.mark.parametrize("sf,shard_rows,probes", [("sf0.01", 200, 32), ("sf0.1", 500, 32), ("sf0.1", 250, 4)])
+def test_recall_on_embeddings(spark, sf, shard_rows, probes, monkeypatch):
+    """Graphs of several shards, and with fewer probes than cells, against brute force."""
+    table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in table.collect()]
-    want = slow_nearest(rows, 10)
-    found = ann.nearest(table, F.col("vec_id") % 100 == 0, shard_rows=200).collect()
-    hits = sum(r.vec_id in {j for _, j in want[r.query_id]} for r in found)
-    assert hits >= 0.9 * sum(map(len, want.values()))
+    vectors, ids = np.array([v for _, v in rows], np.float64), np.array([i for i, _ in rows])
+    rowset = ann._rows(table, "vec_id", "embedding")
+    index, cells = ann.build_index(rowset, 11, shard_rows, probes)
+    shards = index.select("cell", "n").collect()
+    assert len(shards) >= 2 and (sum(r.n for r in shards) == len(rows)) == (len(shards) <= probes)
+    found = {}
+    for r in ann.search_index(index, cells, rowset.where("id % 100 = 0"), 10, probes=probes).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for i in ids[ids % 100 == 0].tolist():
+        away = ((vectors - vectors[ids == i][0]) ** 2).sum(axis=1)
+        best = [j for j in ids[np.lexsort((ids, away))].tolist() if j != i][:10]
+        assert len(found[i]) == 10
+        hits, total = hits + len(found[i] & set(best)), total + 10
+    assert hits >= 0.9 * total, hits / total
+
+
+def test_graphs_are_walked():
+    """A search looks at a part of the nodes only, and finds nearly all of the nearest."""
+    draw = np.random.default_rng(3)
+    vectors = draw.normal(size=(3000, 12))
+    graph = ann.SmallWorld.build(vectors)
+    assert all(layer.dtype == np.int32 and layer.shape[0] == 3000 for layer in graph.layers) and len(graph.layers) > 2
+    assert ((graph.layers[0] >= 0).sum(axis=1) > 0).all()
+    hits = looked = 0
+    for k in range(0, 3000, 60):
+        before = graph.mark
+        found = graph.search(vectors[k], 11, 64)
+        looked += int((graph.seen > before).sum())
+        hits += len(set(found.tolist()) & set(np.argsort(((vectors - vectors[k]) ** 2).sum(axis=1))[:11].tolist()))
+    assert hits >= 0.95 * 11 * 50 and looked < 0.5 * 3000 * 50
+
+
+def test_crowded_cells_are_split(spark):
+    draw = np.random.default_rng(4)
+    vectors = np.concatenate([draw.normal(size=(600, 6)) * 0.01 + 5, draw.normal(size=(60, 6)) * 9])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.nearest(df, F.col("vec_id") % 100 == 0, shard_rows=60).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    for i, got in found.items():
+        away = ((vectors - vectors[i]) ** 2).sum(axis=1)
+        away[i] = np.inf
+        assert len(got & set(np.argsort(away)[:10].tolist())) >= 9
+    assert len(found) == 7
 
 
 def test_pipeline(spark):
