@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
@@ -32,30 +33,77 @@ IDENTIFIERS = (
     "connection connectionString server hostname port timeout retry version default production staging development test "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0123456789abcdef "
 )
+#: Words of prose, of settings and of identifiers that the dictionaries are made of.
+VOCABULARY = (
+    "the and that have with this from they would there what about which when make like time just know take people into year good some could other than then look only come over think "
+    "also back after work first well way even new want because these give day most under very much each where "
+    "tion ment ness able ible ence ance ing ated ations ality ively graph ization ional ical ious ether ough ight ould inter trans super micro multi auto "
+    "test case class object value name index list array string number type data file path line text word item node tree link page user group role account order product price total count "
+    "size length width height color image message event handler listener manager service factory builder provider controller helper parser reader writer stream buffer cache queue stack thread process signal "
+    "socket request response header body method function module package import return result error exception warning status state start stop open close read write create update delete insert remove find search "
+    "password passwd secret token access key private public auth credential bearer config settings database server host port client session default production version environment"
+)
+#: Ways in which words are joined, one of which each sample of the dictionaries shows.
+_STYLES = (lambda w: "".join(map(str.title, w)), lambda w: w[0] + "".join(map(str.title, w[1:])), "_".join, lambda w: "_".join(w).upper(), "-".join, " ".join)
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-][A-Za-z0-9+/_=-]{15,}")  # may follow a "="
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+#: How far before a candidate a context word may end, and how much text on either side primes the compressor.
+REACH, AROUND = 40, 1000
+#: A string is novel if it costs at least so much of what random strings of its characters' classes cost:
+#: one of mixed classes, and one that has the shape of words, which the dictionaries may not all know.
+NOVELTY, NOVELTY_OF_WORDS = 0.7, 0.9
 #: Words in one case or in camel case, and the marks that join them to identifiers.
 _WORDLIKE, _MARKS = re.compile(r"[A-Z]*|[a-z]*(?:[A-Z][a-z]{2,})*"), re.compile(r"[+/_=-]+")
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-#: How far before a candidate a context word may end, and how much text before it primes the compressor.
-REACH, BEFORE = 40, 400
-#: Least marginal compressed bytes for each character of a novel string.
-NOVELTY = 0.72
+#: Random strings that a candidate is compared with, fewer for long ones.
+DRAWS = 8
+_CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_-")
 
 
 class Novelty:
-    """Marginal compressed size of strings behind their surroundings."""
+    """Marginal compressed size of strings behind their surroundings, under two dictionaries.
+
+    One holds identifiers and phrases as they stand, the other is trained on words joined in the
+    ways of identifiers. What words are made of costs little, under one or the other; a random
+    string costs as much as any other of its kind.
+    """
 
     def __init__(self) -> None:
-        words = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.pack = zstandard.ZstdCompressor(level=12, dict_data=words, write_content_size=False, write_checksum=False).compress
+        draw, words = random.Random(7), VOCABULARY.split()
+        samples = [draw.choice(_STYLES)([draw.choice(words) for _ in range(draw.randint(2, 4))]).encode() for _ in range(6000)]
+        self.lead = VOCABULARY.encode()
+        both = zstandard.train_dictionary(16384, samples), zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.packs = [zstandard.ZstdCompressor(level=12, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress for d in both]
+
+    def bytes_for(self, pack: Callable[[bytes], bytes], context: bytes, candidate: str) -> int:
+        """Compressed bytes that the candidate adds to its context."""
+        return len(pack(context + candidate.encode())) - len(pack(context))
+
+    def is_novel(self, before: str, candidate: str, after: str = "") -> bool:
+        """Whether the candidate costs what random strings do, by whichever dictionary knows it best.
+
+        Ahead of the candidate stand common words and its surroundings, where it may be repeated and is left out.
+        So there always is text enough for the compressor to tell common letters from rare ones."""
+        context = self.lead + f" {after} {before}".replace(candidate, " ").encode("utf-8", "surrogatepass")
+        letters = "".join(c for c in _CLASSES if set(c) & set(candidate)) or _CLASSES[-1]
+        n = len(candidate)
+        draw = random.Random(f"{letters}{n}")
+        least = NOVELTY_OF_WORDS if all(_WORDLIKE.fullmatch(w) for w in _MARKS.split(candidate)) else NOVELTY
+        others = ["".join(draw.choices(letters, k=n)) for _ in range(max(1, min(DRAWS, 16384 // n)))]
+        for pack in self.packs:
+            expected = sum(self.bytes_for(pack, context, x) for x in others) / len(others)
+            if self.bytes_for(pack, context, candidate) < least * expected:
+                return False
+        return True
 
-    def bytes_for(self, before: str, candidate: str) -> int:
-        """Compressed bytes that the candidate adds to what stands before it."""
-        context = before.encode("utf-8", "surrogatepass")
-        return len(self.pack(context + candidate.encode())) - len(self.pack(context))
 
-    def is_novel(self, before: str, candidate: str) -> bool:
-        return self.bytes_for(before, candidate) >= NOVELTY * len(candidate)
+_novelty: list[Novelty] = []
+
+
+def novelty() -> Novelty:
+    """One for each Python worker, made when the first candidate is met."""
+    if not _novelty:
+        _novelty.append(Novelty())
+    return _novelty[0]
 
 
 def base_spans(text: str, lowered: str) -> list[tuple[int, int, int]]:
@@ -69,47 +117,34 @@ def base_spans(text: str, lowered: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _secret_shape(found: str) -> bool:
-    """A letter, and a digit or both cases, unless camel case or marks make words of it; novelty decides the rest."""
-    if any(c.isdigit() for c in found):
-        return any(c.isalpha() for c in found)
-    if not (any(c.isupper() for c in found) and any(c.islower() for c in found)):
-        return False
-    return not all(_WORDLIKE.fullmatch(w) for w in _MARKS.split(found))
-
-
-def novel_spans(text: str, lowered: str, taken: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of further strings: close behind a sensitive word, of mixed letters
-    or with digits, outside of what is taken, and incompressible after identifiers and surroundings."""
-    out = []
-    near = [m.end() for w in CONTEXT_WORDS if w in lowered for m in re.finditer(re.escape(w), lowered)]
-    if not near:
-        return out
-    near.sort()
+def candidates(text: str, lowered: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Maximal runs of 16 characters or more of which secrets are made, close behind a sensitive
+    word and outside of what is taken."""
+    near = sorted(m.end() for w in CONTEXT_WORDS if w in lowered for m in re.finditer(re.escape(w), lowered))
     done = 0
     for end in near:
         # a candidate starts in reach, and is taken to the end of its run
         while start := _CANDIDATE.search(text, max(end, done), min(len(text), end + REACH + 16)):
             m = _CANDIDATE.match(text, start.start())
             done = m.end()
-            found = m[0]
-            if not _secret_shape(found):
-                continue
-            if any(s < m.end() and m.start() < e for s, _, e in taken):
-                continue
-            if novelty.is_novel(text[max(0, m.start() - BEFORE) : m.start()], found):
-                out.append((m.start(), 3, m.end()))
-    return out
+            if not any(s < m.end() and m.start() < e for s, _, e in taken):
+                yield m.span()
+
+
+def novel_spans(text: str, lowered: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the candidates that are incompressible behind identifiers and surroundings."""
+    found = candidates(text, lowered, taken)
+    return [(s, 3, e) for s, e in found if novelty().is_novel(text[max(0, s - AROUND) : s], text[s:e], text[e : e + AROUND])]
 
 
-def find_secrets(text: str | None, novelty: Novelty) -> list[tuple[int, int, int]]:
+def find_secrets(text: str | None) -> list[tuple[int, int, int]]:
     """All spans of a whole text as (start, kind, end), by start and kind; code points, end exclusive."""
     text = text or ""
     lowered = text.lower()
     if len(lowered) != len(text):  # a letter whose lower case is two: keep positions
         lowered = text.translate(_LOWER)
     base = base_spans(text, lowered)
-    return sorted(base + novel_spans(text, lowered, base, novelty))
+    return sorted(base + novel_spans(text, lowered, base))
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,11 +157,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
         for batch in batches:
             found = []
             for text in batch.column(1).to_pylist():
-                found.append([{"kind": KINDS[k], "start": s, "end": e, "text": text[s:e]} for s, k, e in find_secrets(text, novelty)])
+                found.append([{"kind": KINDS[k], "start": s, "end": e, "text": text[s:e]} for s, k, e in find_secrets(text)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["doc_id", "found"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -338,16 +338,14 @@ def test_passages_of_frequent_lines(spark, lines, size, monkeypatch):
 
 def test_long_secrets():
     draw = random.Random(8)
-    key = "".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1600))
-    novelty = secrets.Novelty()
-    for before, size in (("private_key=", 1600), ("Authorization: Bearer ", 250), ("Authorization: Bearer ", 200), ("credential ", 201)):
+    key = "".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(5000))
+    for before, size in (("private_key=", 1600), ("Authorization: Bearer ", 250), ("Authorization: Bearer ", 200), ("credential ", 201), ("the secret access key is ", 5000)):
         text = f"{before}{key[:size]} and further text"
-        assert (len(before), 3, len(before) + size) in secrets.find_secrets(text, novelty)
+        assert (len(before), 3, len(before) + size) in secrets.find_secrets(text)
 
 
 def test_secrets_with_few_digits():
     draw = random.Random(9)
-    novelty = secrets.Novelty()
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
     for size in (16, 20, 32):
         for digits in (0, 1, 2):
@@ -356,6 +354,51 @@ def test_secrets_with_few_digits():
                 for k in draw.sample(range(size), digits):
                     key[k] = draw.choice("0123456789")
                 found = "".join(key)
-                assert (11, 3, 11 + size) in secrets.find_secrets(f"credential {found} end", novelty), found
+                assert (11, 3, 11 + size) in secrets.find_secrets(f"credential {found} end"), found
     for name in ("getUserAccountSettings", "a-long-hyphenated-name", "Path/Toward/SomeOther/Place", "UPPER_CASE_CONSTANT_NAME"):
-        assert not secrets.find_secrets(f"the auth {name} end", novelty)
+        assert not secrets.find_secrets(f"the auth {name} end")
+
+
+@pytest.mark.parametrize("size,least", [(20, 0.6), (40, 0.85), (200, 1.0), (1000, 1.0), (5000, 1.0)])
+def test_secrets_of_lower_case_letters(size, least):
+    draw = random.Random(size)
+    before, after = "The account that we made last year has a credential ", " which is written here for all to see, and it works."
+    hits = 0
+    for _ in range(20):
+        key = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size))
+        hits += (len(before), 3, len(before) + size) in secrets.find_secrets(before + key + after)
+    assert hits >= least * 20, hits
+
+
+def slow_novel(text):
+    """Novel spans by a plain loop over all runs and all sensitive words."""
+    out, lowered = [], text.lower()
+    taken = secrets.base_spans(text, lowered)
+    for m in re.finditer("[A-Za-z0-9+/_=-]+", text):
+        s, e = m.span()
+        while text[s] == "=":
+            s += 1
+            if s == e:
+                break
+        ends = [k + len(w) for w in secrets.CONTEXT_WORDS for k in range(len(text)) if lowered.startswith(w, k)]
+        if e - s < 16 or not any(x <= s <= x + secrets.REACH for x in ends) or any(a < e and s < b for a, _, b in taken):
+            continue
+        if secrets.novelty().is_novel(text[max(0, s - secrets.AROUND) : s], text[s:e], text[e : e + secrets.AROUND]):
+            out.append((s, 3, e))
+    return out
+
+
+def test_novel_spans_by_plain_loop():
+    draw = random.Random(12)
+    key = lambda n: "".join(draw.choice("ABCDEFGHJKabcdefghjk0123456789+/") for _ in range(n))
+    for _ in range(40):
+        parts = [draw.choice([key(draw.randint(3, 60)), draw.choice(["auth ", "the credential: ", "private ", "signature of ", "a token ", "plain words here ", "getTheAccountOfTheUser ", "x " * 30])]) for _ in range(12)]
+        text = " ".join(parts)
+        lowered = text.lower()
+        assert secrets.novel_spans(text, lowered, secrets.base_spans(text, lowered)) == slow_novel(text)
+
+
+def test_clean_texts_hold_no_novel_spans(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    kinds = secrets.scan_secrets(docs).select(F.explode("found.kind").alias("kind")).groupBy("kind").count().collect()
+    assert {r["kind"] for r in kinds} <= {"assign", "access", "hex"}
