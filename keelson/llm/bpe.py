@@ -160,6 +160,9 @@ class ByteBPE:
                 flat[start + at] = np.minimum(flat[start + 2 * at], flat[start + 2 * at + 1])
             live = live[tree[live, 1] != never]
         kept = ids >= 0
+        alone = (places < lengths[:, None]) & (self.byte_ranks[raw] < 0)
+        if alone.any():
+            raise KeyError(f"no rank for byte {int(raw[alone][0])}")
         data, ends = ids[kept].astype(np.int32).tobytes(), (np.cumsum(kept.sum(axis=1)) * 4).tolist()
         return [data[x:y] for x, y in zip([0, *ends], ends, strict=False)]
 
@@ -239,7 +242,11 @@ def tokenise(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
 
 
 def decode(encoded: DataFrame, path: str, pattern: str = "", id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """One row per row of encoded: doc_id, decoded. Null ids decode to nothing."""
+    """One row per row of encoded: doc_id, decoded.
+
+    Null and empty lists of ids decode to nothing; an id without a token raises. Rows pass one by
+    one: repeated rows repeat, an empty table stays empty, other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
@@ -252,6 +259,7 @@ def decode(encoded: DataFrame, path: str, pattern: str = "", id_col: str = "doc_
 
 
 def with_digests(tokens: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of what tokenise() returns."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of what tokenise() returns, row by row: a
+    document without tokens has 0 and the digests of nothing, an empty table stays empty."""
     listed = F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")
     return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import materialise, unit_interval, whole, word_count
+from .shared import materialise, unit_interval, unused, whole, word_count
 
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (1, 2, 3)
@@ -78,13 +78,17 @@ def mixture(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGH
 
 
 def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mixed corpus itself: rows of docs, each as often as it is taken (see mixture())."""
+    """The mixed corpus itself: rows of docs, each as often as it is taken (see mixture()).
+
+    Null texts have no words, and a source without words gives no copies. Repeated rows are drawn
+    alike; no rows in, no rows out; columns of docs may have any names.
+    """
     sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(word_count(F.col(text_col))).alias("source_size"))
-    rates = source_targets(sizes, weights, most).select(
-        F.col("source").alias("_mix_source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_mix_rate")
-    )
-    draw = unit_interval(F.concat(F.lit(seed), F.lit(":"), _key(docs[id_col], docs[text_col])))
-    joined = docs.join(rates, docs[source_col].eqNullSafe(rates["_mix_source"]), "left")
-    copies = (F.floor("_mix_rate") + (draw < F.col("_mix_rate") - F.floor("_mix_rate")).cast("int")).cast("int")
-    often = joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), copies)))
-    return often.select(*[docs[c] for c in docs.columns])
+    rates = source_targets(sizes, weights, most)
+    from_source, rate, copy = unused(docs, "from_source"), unused(docs, "rate"), unused(docs, "copy")
+    rates = rates.select(F.col("source").alias(from_source), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(rate))
+    draw = unit_interval(F.concat(F.lit(seed), F.lit(":"), _key(F.col(id_col), F.col(text_col))))
+    joined = docs.join(rates, F.col(source_col).eqNullSafe(F.col(from_source)), "left")
+    copies = (F.floor(rate) + (draw < F.col(rate) - F.floor(rate)).cast("int")).cast("int")
+    often = joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies)))
+    return often.select(*docs.columns)

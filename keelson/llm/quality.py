@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .shared import materialise
+from .shared import materialise, unused
 
 BUCKET_BITS, DIMENSIONS = 16, 16
 #: Lengths of the character n-grams of a word between its boundary marks.
@@ -22,6 +22,9 @@ GRAMS = (3, 4, 5)
 #: At most about so many labelled rows of each class are learnt from, drawn by hash of doc_id.
 SAMPLE = 1500
 EPOCHS, RATE, SEED = 6, 0.5, 7
+#: Buckets of a document that is learnt from, at most; with SAMPLE it bounds what the driver gets
+#: to 2 * SAMPLE * MOST_BUCKETS * 6 bytes, 150 MB. Scores always use all buckets.
+MOST_BUCKETS = 8192
 #: Multipliers of the rolling hashes: odd, with well-mixed bits.
 STEP, FINISH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -31,22 +34,24 @@ def _buckets(hashes: np.ndarray) -> np.ndarray:
     return (mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
 
 
-#: Word pairs count by whether a word follows itself, as pairs of given words rarely recur.
-_AGAIN, _OTHER = _buckets(np.array([1, 2], np.uint64) * STEP).tolist()
+#: What the hash of a word is multiplied by to make one of a pair with the next word.
+PAIR = np.uint64(0xA0761D6478BD642F)
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and their weights for a whole text; a bucket may come several times.
 
     Words are runs without white space, case kept. Each distinct word gives itself and its
-    character n-grams, weighted by how often it occurs; each pair of neighbours gives `same`
-    or `other`.
+    character n-grams, and each pair of neighbouring words one of its own, weighted by how often
+    they occur.
     """
     words = (text or "").split()
     if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
     counts = Counter(words)
     often = np.fromiter(counts.values(), np.float32, len(counts))
+    place = dict(zip(counts, range(len(counts)), strict=True))
+    order = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
     marked = np.frombuffer(("<" + "><".join(counts) + ">").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lengths = np.fromiter(map(len, counts), np.int64, len(counts)) + 2
     starts = np.cumsum(lengths) - lengths
@@ -54,8 +59,10 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         powers = np.cumprod(np.full(int(lengths.max()), STEP, np.uint64))
         places = np.arange(len(marked)) - np.repeat(starts, lengths)
-        out = [_buckets(np.add.reduceat(marked * powers[places], starts))]
-        weights = [often]
+        whole = np.add.reduceat(marked * powers[places], starts)
+        pairs = whole[order[:-1]] * PAIR + whole[order[1:]] * STEP
+        out = [_buckets(whole), _buckets(pairs * STEP)]
+        weights = [often, np.ones(len(pairs), np.float32)]
         for n in GRAMS:
             if len(marked) < n:
                 continue
@@ -65,9 +72,6 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
                 gram = gram * STEP + marked[inside + k]
             out.append(_buckets(gram * STEP))
             weights.append(often[word[inside]])
-    again = sum(map(str.__eq__, words, words[1:]))
-    out.append(np.array([_AGAIN, _OTHER], np.int32))
-    weights.append(np.array([again, len(words) - 1 - again], np.float32))
     return np.concatenate(out), np.concatenate(weights)
 
 
@@ -81,6 +85,16 @@ def packed(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return once, (summed / summed.sum()).astype(np.float32)
 
 
+def _thinned(buckets: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At most MOST_BUCKETS of them, those of the smallest hashes, weights summing to 1."""
+    if len(buckets) <= MOST_BUCKETS:
+        return buckets, weights
+    with np.errstate(over="ignore"):
+        mixed = (buckets.astype(np.uint64) + np.uint64(1)) * FINISH
+    kept = np.sort(np.argpartition(mixed ^ (mixed >> np.uint64(32)), MOST_BUCKETS)[:MOST_BUCKETS])
+    return buckets[kept], (weights[kept] / weights[kept].sum()).astype(np.float32)
+
+
 @dataclass(frozen=True)
 class QualityModel:
     """logit = bias + weighted mean of gains over a text's features.
@@ -150,24 +164,28 @@ def fit_quality(docs: DataFrame, labels: DataFrame, held_out: Column, sample: in
 
     held_out is an expression on labels. Labels other than 0 and 1 count for nothing; of several
     labels of one id the smallest holds. Class sizes are counted over all labels, the sample is
-    drawn by hash, and only its documents leave their partitions, as hashed features.
+    drawn by hash, and only its documents leave their partitions, as hashed features; a document
+    of over MOST_BUCKETS distinct buckets leaves those of the smallest hashes. Null texts teach the
+    bias only, as empty ones do. Labels whose document is missing teach nothing. Without labels of
+    both classes every text has one score, that of the class sizes. docs may hold other columns.
     """
+    key, label = unused(docs, "labelled"), unused(docs, "label")
     usable = labels.where(~F.coalesce(held_out, F.lit(True)) & F.col(label_col).isin(0, 1))
-    usable = materialise(usable.groupBy(F.col(id_col).alias("_labelled")).agg(F.min(F.col(label_col).cast("int")).alias("_label")))
-    totals = {r["_label"]: r["count"] for r in usable.groupBy("_label").count().collect()}
+    usable = materialise(usable.groupBy(F.col(id_col).alias(key)).agg(F.min(F.col(label_col).cast("int")).alias(label)))
+    totals = {r[label]: r["count"] for r in usable.groupBy(label).count().collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
-    share = F.when(F.col("_label") == 1, sample / max(n1, 1)).otherwise(sample / max(n0, 1))
-    chosen = usable.where(F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "_labelled"), 11) / F.lit(float(2**53)) < share)
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), F.col(id_col) == F.col("_labelled"))
+    share = F.when(F.col(label) == 1, sample / max(n1, 1)).otherwise(sample / max(n0, 1))
+    chosen = usable.where(F.shiftrightunsigned(F.xxhash64(F.lit(SEED), key), 11) / F.lit(float(2**53)) < share)
+    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col(key)).select(F.col(label).alias("label"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [packed(t) for t in batch.column(1).to_pylist()]
+            own = [_thinned(*packed(t)) for t in batch.column(1).to_pylist()]
             buckets = [b.astype("<u2").tobytes() for b, _ in own]
             weights = [w.tobytes() for _, w in own]
             yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.binary()), pa.array(weights, pa.binary()), batch.column(0)], ["buckets", "weights", "label"])
 
-    found = rows.select("_label", "_text").mapInArrow(run, "buckets binary, weights binary, label int").toPandas()
+    found = rows.mapInArrow(run, "buckets binary, weights binary, label int").toPandas()
     found = found.sort_values(["label", "buckets", "weights"], kind="stable")  # any order of partitions gives the same model
     learnt = [(np.frombuffer(b, "<u2").astype(np.int32), np.frombuffer(w, np.float32), int(y)) for b, w, y in found.itertuples(index=False)]
     return train(learnt, (n0, n1))
@@ -184,5 +202,10 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3,
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, whose score reaches the threshold."""
-    return docs.withColumn("_quality", model.column(F.col(text_col))).where(F.col("_quality") >= threshold).select(*docs.columns)
+    """The rows of docs, with all columns, whose score reaches the threshold.
+
+    Null and empty texts have the score of the bias alone. Repeated rows are judged alike, an
+    empty table stays empty; columns of docs may have any names.
+    """
+    score = unused(docs, "score")
+    return docs.withColumn(score, model.column(F.col(text_col))).where(F.col(score) >= threshold).select(*docs.columns)

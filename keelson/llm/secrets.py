@@ -168,7 +168,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def with_digests(secrets: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel of what scan_secrets() returns."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel of what scan_secrets() returns,
+    row by row: a text without spans has zeros, the digest of nothing and an empty string."""
 
     def joined(spans):
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")

@@ -3,32 +3,19 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import shared_folder
+
 #: The white space of every contract here: blank, tab, line feed, vertical tab, form feed, return.
 SPACE = r"\x20\x09-\x0D"
 
 _written: list[str] = []
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from spark.checkpoint.dir.
-
-    Only where the session names none (local tests) is a local folder set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        kept = spark.sparkContext.getCheckpointDir()
-        folder = kept or tempfile.mkdtemp(prefix="keelson-")
-        if not kept:
-            spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def materialise(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back.
 

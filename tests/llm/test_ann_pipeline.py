@@ -137,3 +137,30 @@ def test_stages_keep_columns(spark):
         assert stage(spark, docs, SF).columns == docs.columns
         assert stage(spark, docs.limit(0), SF).count() == 0
     assert exact.drop_exact_duplicates(docs).count() <= docs.count() and quality.SAMPLE > 0
+
+
+CLASHES = ("score", "fp", "row", "key", "rate", "copy", "from_source", "label", "labelled", "n", "first", "host")
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, ties, repeated rows and clashing names."""
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    kinds = {f.name: f.dataType.simpleString() for f in base.schema}
+    odd = [(1, None, "en", "a", 0), (2, "", None, None, None), (None, "one two three four five six", "en", "a", 1), (3, "word " * 60_000, "en", None, 9), (4, "twice the same text", "en", "b", 2), (4, "twice the same text", "en", "b", 2), (4, "twice the same text", "en", "c", 2), (None, None, None, None, None), (5, " \t\n", "de", "a", 3)]
+    docs = spark.createDataFrame(odd, ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", "text", "lang", "source", "n_chars"))).select(*base.columns)
+    docs = docs.withColumns({c: F.lit("kept") for c in CLASHES if c not in docs.columns})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        rows = out.collect()
+        if name == "bpe":
+            assert len(rows) == len(odd)
+            assert stage(spark, docs.limit(0), SF).count() == 0
+            continue
+        assert out.columns == docs.columns and all(r[c] == "kept" for r in rows for c in CLASHES)
+        assert {(r.doc_id, r.text) for r in rows} <= {(r[0], r[1]) for r in odd}
+        if name == "exact_dedup":
+            assert sorted((str(r.doc_id), (r.text or "")[:5]) for r in rows) == [("1", ""), ("3", "word "), ("4", "twice"), ("5", " \t\n"), ("None", "one t")]
+        if name == "near_dedup":
+            assert sum((r.text or "").strip() == "" for r in rows) == 1 and len(rows) == 4
+    table = quality.fit_quality(docs.limit(0), spark.read.parquet(f"{SF}/labels.parquet").limit(0), F.lit(False))
+    assert table.score("any") == 0.5

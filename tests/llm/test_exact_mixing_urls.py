@@ -111,3 +111,36 @@ def test_urls(spark):
     pattern = urls.UrlRule("block", "", "", pattern="/en/7+$", tokens=("en",))
     assert sorted(r.page_id for r in urls.judge_urls(df, [pattern]).where("verdict = 'block'").collect()) == [1, 11, 12, 12]
     assert urls.filter_urls(df, URL_RULES).columns == df.columns
+
+
+def test_urls_by_joins(spark, monkeypatch):
+    """Many rules are joined instead of looked up in place; nulls go by the default."""
+    rows = [(i, f"http://h{i % 7}.example.{'com' if i % 2 else 'net'}/{['en', 'de'][i % 2]}/{i}") for i in range(60)] + [(100, None), (101, "none"), (100, None)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, blocked_url string")
+    rules = [*URL_RULES, urls.UrlRule("block", "", "", pattern="/5$", tokens=())]
+    want = sorted(map(str, urls.judge_urls(df, rules).collect()))
+    monkeypatch.setattr(urls, "RULES_IN_PLACE", 0)
+    assert sorted(map(str, urls.judge_urls(df, rules).collect())) == want
+    monkeypatch.setattr(urls, "BROADCAST_RULES", 0)
+    assert sorted(map(str, urls.judge_urls(df, rules).collect())) == want
+    monkeypatch.undo()
+    for default in ("allow", "block"):
+        judged = [r.page_id for r in urls.judge_urls(df, rules, default).collect() if r.verdict == "allow"]
+        assert sorted(map(str, judged)) == sorted(str(r.page_id) for r in urls.filter_urls(df, rules, default).collect())
+    assert urls.filter_urls(df, rules, "block").where("url is null").count() == 0
+
+
+def test_first_of_equal_rows_is_the_same_again(spark):
+    rows = [(i % 5, "same  text" if i % 2 else "same text", f"s{i}") for i in range(40)] + [(None, "same text", "z"), (None, None, "y"), (None, "", "x"), (7, "other", "a"), (7, "other", "a")]
+    df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, source string, key string")
+    found = [sorted(map(str, exact.drop_exact_duplicates(d).collect())) for d in (df, df.repartition(5), df.orderBy("source"))]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 3
+    monkey = sorted(map(str, exact.drop_exact_duplicates(df, heavy=1, tracked=16).collect()))
+    assert monkey == found[0] and exact.drop_exact_duplicates(df.limit(0)).count() == 0
+
+
+def test_large_groups_on_either_path(spark):
+    rows = [(i, ["hot", "warm", None, f"t{i // 2}"][i % 4], "r") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    want = sorted(map(str, exact.exact_duplicates(df).collect()))
+    assert sorted(map(str, exact.exact_duplicates(df.repartition(9), heavy=1, tracked=16).collect())) == want

@@ -12,7 +12,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, langid, quality, secrets, simhash, substring
+from keelson.llm import bpe, langid, quality, queries, secrets, simhash, substring
 from keelson.llm.queries import RANK_FILE
 
 SCHEMA = "doc_id long, text string, lang string, fp string, row string, words string"
@@ -156,6 +156,122 @@ def test_language(spark):
     assert langid.predict_languages(table(spark), none).where("lang_pred != 'und'").count() == 0
 
 
+def slow_profile(text):
+    """The bundle of a text's n-grams by plain loops: None without a letter."""
+    letters = "".join(c if c.isalpha() else "\0" for c in f"\0{text.lower()}\0")
+    while "\0\0" in letters:
+        letters = letters.replace("\0\0", "\0")
+    if len(letters) < 3:
+        return None
+    vector = lambda c: np.random.Generator(np.random.PCG64(ord(c))).integers(0, 2, langid.DIMENSIONS, np.int8) * 2 - 1
+    return sum(np.roll(vector(a), 2).astype(int) * np.roll(vector(b), 1) * vector(c) for a, b, c in zip(letters, letters[1:], letters[2:], strict=False))
+
+
+def test_language_by_brute_force(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("The cat sat.", "en"), ("on the mat, oh!", "en"), ("Über die Straße", "de"), ("ein Haus", "de"), ("l'eau ça", "fr"), ("x" * 300, "fr"), ("12 .. !", "fr"), (None, "en"), ("held out Wörter", "de"), ("the house", None), ("", "de")])]
+    model = langid.fit_languages(table(spark, rows), F.col("doc_id") == 8)
+    sums = {}
+    for i, text, lang in rows:
+        profile = slow_profile(text or "")
+        if i != 8 and lang and profile is not None:
+            sums[lang] = sums.get(lang, 0) + profile / np.linalg.norm(profile)
+    assert model.languages == sorted(sums)
+    for r in langid.predict_languages(table(spark, rows), model).collect():
+        profile = slow_profile(rows[r.doc_id][1] or "")
+        if profile is None:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        cosines = {lang: float(profile @ v / np.linalg.norm(profile) / np.linalg.norm(v)) for lang, v in sums.items()}
+        assert r.lang_pred == max(cosines, key=lambda k: (cosines[k], k)) and r.score == pytest.approx(min(1, max(0, max(cosines.values()))), abs=1e-4)
+
+
+def slow_features(text):
+    """Buckets and weights of a text by plain loops."""
+    mod, step = 1 << 64, int(quality.STEP)
+    bucket = lambda h: (((h ^ (h >> 29)) * int(quality.FINISH)) % mod) >> (64 - quality.BUCKET_BITS)
+    out, words = Counter(), (text or "").split()
+
+    def whole(word):
+        return sum(ord(c) * pow(step, k + 1, mod) for k, c in enumerate(f"<{word}>")) % mod
+
+    for word in words:
+        out[bucket(whole(word))] += 1
+        marked = f"<{word}>"
+        for n in quality.GRAMS:
+            for k in range(len(marked) - n + 1):
+                h = n
+                for c in marked[k : k + n]:
+                    h = (h * step + ord(c)) % mod
+                out[bucket(h * step % mod)] += 1
+    for a, b in zip(words, words[1:], strict=False):
+        out[bucket((whole(a) * int(quality.PAIR) + whole(b) * step) % mod * step % mod)] += 1
+    return out
+
+
+def slow_train(rows, totals):
+    """The same descent by plain loops over numbers."""
+    draw = np.random.default_rng(quality.SEED)
+    d = quality.DIMENSIONS
+    vectors = draw.uniform(-1 / d, 1 / d, (1 << quality.BUCKET_BITS, d)).astype(np.float32).astype(float)
+    out, bias = np.zeros((2, d)), [0.0, 0.0]
+    steps, done = quality.EPOCHS * len(rows), 0
+    for _ in range(quality.EPOCHS):
+        for k in draw.permutation(len(rows)):
+            weights, label = rows[k]
+            speed = quality.RATE * (1 - done / steps)
+            done += 1
+            hidden = [sum(w * vectors[b][j] for b, w in weights.items()) for j in range(d)]
+            z = [sum(out[c][j] * hidden[j] for j in range(d)) + bias[c] for c in (0, 1)]
+            p1 = 1 / (1 + np.exp(z[0] - z[1]))
+            error = [(1 - p1) - (label == 0), p1 - (label == 1)]
+            back = [error[0] * out[0][j] + error[1] * out[1][j] for j in range(d)]
+            size = sum(w * w for w in weights.values())
+            for c in (0, 1):
+                for j in range(d):
+                    out[c][j] -= speed * error[c] * hidden[j]
+                bias[c] -= speed * error[c]
+            for b, w in weights.items():
+                for j in range(d):
+                    vectors[b][j] -= w * speed * back[j] / size
+    have = Counter(label for _, label in rows)
+    return (vectors @ (out[1] - out[0])), bias[1] - bias[0] + np.log(totals[1] / totals[0]) - np.log(have[1] / have[0])
+
+
+def test_quality_by_brute_force(spark):
+    texts = ["a good clean line", "buy buy buy $$$", "Überall ein Satz", "win win", "the end of it", "", "a b\tc a b", "$$$ win 漢字"]
+    labels = [1, 0, 1, 0, 1, 0, 1, 0]
+    for text in [*texts, None, "x" * 200, " \n "]:
+        buckets, weights = quality.features(text)
+        got = Counter()
+        for b, w in zip(buckets.tolist(), weights.tolist(), strict=True):
+            got[b] += w
+        assert got == slow_features(text)
+    rows = []
+    for text, label in zip(texts, labels, strict=True):
+        found = slow_features(text)
+        total = sum(found.values())
+        rows.append(({b: w / total for b, w in found.items()}, label))
+    model = quality.train([(*quality.packed(t), y) for t, y in zip(texts, labels, strict=True)], (4, 4))
+    gains, bias = slow_train(rows, (4, 4))
+    assert model.bias == pytest.approx(bias, abs=1e-3) and np.abs(model.gains - gains).max() < 1e-3
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "doc_id long, text string")
+    for r in quality.score_quality(df, model).collect():
+        found = slow_features([*texts, None][r.doc_id])
+        logit = bias + (sum(gains[b] * w for b, w in found.items()) / sum(found.values()) if found else 0)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-3) and r.predicted == (r.score >= 0.3)
+
+
+def test_held_out_accuracy(spark):
+    """On the tables themselves: rows that neither model has learnt from."""
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = [r for r in queries.op4_langid(spark, sf).collect() if r.held_out and docs[r.doc_id].lang is not None and r.lang_pred != "und"]
+    assert len(found) > 100 and sum(r.lang_pred == docs[r.doc_id].lang for r in found) >= 0.97 * len(found)
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    found = [r for r in queries.op10_quality(spark, sf).collect() if r.held_out and r.doc_id in labels]
+    assert len(found) > 30 and sum(r.predicted == labels[r.doc_id] for r in found) >= 0.95 * len(found)
+
+
 def test_quality(spark):
     draw = random.Random(3)
     good = lambda: " ".join(draw.choice(["tion", "the", "ing", "an"]) + draw.choice(["er", "st", ""]) for _ in range(60)) + "."
@@ -246,10 +362,13 @@ def test_passages(spark):
     assert substring.repeated_passages(docs.limit(0)).count() == 0
 
 
-def test_partitions_do_not_change_passages(spark):
+def test_partitions_do_not_change_passages(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    monkeypatch.setattr(substring, "HOT_ROWS", 1)
     found = [sorted(map(str, substring.repeated_passages(d).collect())) for d in (docs, docs.repartition(7))]
-    assert found[0] and found[0] == found[1]
+    monkeypatch.undo()
+    found.append(sorted(map(str, substring.repeated_passages(docs).collect())))  # hot texts or none
+    assert found[0] and found[0] == found[1] == found[2]
 
 
 def test_exact_passages_by_brute_force(spark):
