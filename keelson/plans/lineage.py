@@ -12,9 +12,13 @@ _written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local folder is made only where none is set."""
+    """spark.checkpoint.dir of the session, which all executors share.
+
+    A local folder is made only where none is set and the session runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="keelson-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
