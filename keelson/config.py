@@ -64,11 +64,11 @@ def valid_regex(pattern: str) -> bool:
 PROFILE = Config(
     flow=("command-handler", "service", "use-case", "port", "store"),
     layers=(
-        Layer("application", "Application", "CLI + TUI entry points"),
-        Layer("domain", "Domain", "use-cases, ports, pure domain"),
-        Layer("infrastructure", "Infrastructure", "stores and adapters"),
-        Layer("composition-root", "Composition Root", "the only place concretes are named"),
-        Layer("test", "Test", "fakes and specs"),
+        Layer("application", "Application"),
+        Layer("domain", "Domain"),
+        Layer("infrastructure", "Infrastructure"),
+        Layer("composition-root", "Composition Root"),
+        Layer("test", "Test"),
     ),
     patterns=(
         Pattern("port", "domain", "domain/ports/", ("trait",)),

@@ -36,7 +36,7 @@ def availability(commit_files: DataFrame) -> DataFrame:
     """project, available, enough, reason: whether the history may be ranked."""
     w = window(commit_files)
     enough = F.col("commits") >= MIN_COMMITS
-    short = F.concat(F.col("commits").cast("string"), F.lit(f" commit(s) in the window; {MIN_COMMITS} are needed before churn ranks anything"))
+    short = F.concat(F.col("commits").cast("string"), F.lit(f" of {MIN_COMMITS} commits that a ranking needs"))
     return w.select("project", (F.col("commits") > 0).alias("available"), enough.alias("enough"), F.when(~enough, short).otherwise("").alias("reason"))
 
 
@@ -54,7 +54,7 @@ def scored(churn: DataFrame, deps: DataFrame) -> DataFrame:
 
 def _over_all(files: DataFrame, **totals) -> DataFrame:
     """files with totals of their project: a small aggregate joined back, not a window."""
-    return files.join(F.broadcast(files.groupBy("project").agg(*[x.alias(k) for k, x in totals.items()])), "project")
+    return files.join(files.groupBy("project").agg(*[x.alias(k) for k, x in totals.items()]), "project")
 
 
 def hotspots(files: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
+from itertools import combinations
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import Window as W
 
 from ..functions import capitalise
 from ..schema import Model
-from .graph import greedy_merge
+from .graph import greedy_communities
 from .links import first_by_id
 
 TRIVIAL_FIELDS, TRIVIAL_METHODS, WIDE_FIELDS, STRONG_Q = 5, 3, 12, 0.30
@@ -53,10 +54,13 @@ def _read_elsewhere(df: DataFrame, foreign: DataFrame | None, field: str = "fiel
 def unused_and_write_only(touches: DataFrame, foreign: DataFrame | None = None) -> DataFrame:
     """project, type, field, state: `unused` fields are touched by no method of the type and read
     nowhere else; `write-only` ones are touched, but read neither here nor elsewhere."""
-    flat = touches.groupBy(*TYPE_KEYS).agg(F.first("fields").alias("fields"), F.flatten(F.collect_list("touch")).alias("touched"), F.flatten(F.collect_list("reads")).alias("read"))
-    each = flat.select("project", "type_ord", "type", F.explode("fields").alias("field"), "touched", "read")
-    state = F.when(~F.array_contains("touched", F.col("field")), "unused").when(~F.array_contains("read", F.col("field")), "write-only")
-    found = each.select("project", "type_ord", "type", "field", state.alias("state")).where("state is not null")
+    declared = touches.select(*TYPE_KEYS, F.explode("fields").alias("field")).distinct()
+    met = field_links(touches).select(*TYPE_KEYS, "field", F.lit(False).alias("read"))
+    read = touches.select(*TYPE_KEYS, F.explode("reads").alias("field"), F.lit(True).alias("read"))
+    used = met.unionByName(read).groupBy(*TYPE_KEYS, "field").agg(F.count_if(~F.col("read")).alias("_met"), F.count_if(F.col("read")).alias("_read"))
+    none = F.lit(0).cast("bigint")
+    state = F.when(F.coalesce("_met", none) == 0, "unused").when(F.coalesce("_read", none) == 0, "write-only")
+    found = declared.join(used, [*TYPE_KEYS, "field"], "left").select("project", "type_ord", "type", "field", state.alias("state")).where("state is not null")
     return _read_elsewhere(found, foreign).select("project", "type", "field", "state")
 
 
@@ -67,10 +71,8 @@ def field_links(touches: DataFrame) -> DataFrame:
 
 def projection(touches: DataFrame) -> DataFrame:
     """TYPE_KEYS, a, b, w for methods a < b: shared fields, and one more if either calls the other."""
-    fields = field_links(touches)
-    sharing = fields.groupBy(*TYPE_KEYS, "field").agg(F.sort_array(F.collect_list("method")).alias("ms"))
-    two = F.flatten(F.transform("ms", lambda x, i: F.transform(F.slice("ms", i + 2, F.size("ms")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    shared = sharing.select(*TYPE_KEYS, F.explode(two).alias("p")).select(*TYPE_KEYS, "p.a", "p.b", F.lit(1.0).alias("w"))
+    side = lambda c: field_links(touches).withColumnRenamed("method", c)
+    shared = side("a").join(side("b"), [*TYPE_KEYS, "field"]).where("a < b").select(*TYPE_KEYS, "a", "b", F.lit(1.0).alias("w"))
     names = touches.select(*TYPE_KEYS, F.col("method").alias("call"), F.col("m").alias("to"))
     called = touches.select(*TYPE_KEYS, "m", F.explode("calls").alias("call")).join(names, [*TYPE_KEYS, "call"])
     called = called.where("m != to").select(*TYPE_KEYS, F.least("m", "to").alias("a"), F.greatest("m", "to").alias("b")).distinct().withColumn("w", F.lit(1.0))
@@ -96,8 +98,10 @@ def one_type(fields: list[str], methods: list[str], touch: list[list[str]], call
     """lcom4, lcom4_core, modularity and groups (a list of method positions each) of one type."""
     at_f = {f: i for i, f in enumerate(fields)}
     by_name: dict[str, int] = {}
+    at_m: dict[str, list[int]] = {}
     for i, m in enumerate(methods):
         by_name.setdefault(m, i)
+        at_m.setdefault(m, []).append(i)
 
     def parts(live_f: set[int], live_m: set[int]) -> int:
         links = [(at_f[f], len(fields) + m) for m in live_m for f in touch[m] if at_f[f] in live_f]
@@ -108,23 +112,32 @@ def one_type(fields: list[str], methods: list[str], touch: list[list[str]], call
     every = set(range(len(methods)))
     called = {c for cs in calls for c in cs}
     live = {i for i in every if touch[i] or calls[i] or methods[i] in called}
-    uses = np.zeros((len(methods), len(fields)))
-    asks = np.zeros((len(methods), len(methods)), bool)
+    weights: dict[tuple[int, int], float] = {}
+    users: dict[str, list[int]] = {}
     for i in every:
-        uses[i, [at_f[f] for f in set(touch[i])]] = 1
-        asks[i] = [m in calls[i] for m in methods] if calls[i] else False
-    table = uses @ uses.T + (asks | asks.T)
-    np.fill_diagonal(table, 0)
-    label = greedy_merge(table)
-    total, q = table.sum() / 2, 0.0
-    names = sorted(set(label.tolist()))
+        for f in sorted(set(touch[i])):
+            users.setdefault(f, []).append(i)
+    for found in users.values():
+        for pair in combinations(found, 2):
+            weights[pair] = weights.get(pair, 0.0) + 1
+    for pair in {(min(i, j), max(i, j)) for i in every for c in calls[i] for j in at_m[c] if i != j}:
+        weights[pair] = weights.get(pair, 0.0) + 1
+    label = greedy_communities(sorted(every), weights)
+    total, q = sum(weights.values()), 0.0
+    names = sorted(set(label.values()))
     if total:
-        for c in names:
-            own = label == c
-            q += table[np.ix_(own, own)].sum() / 2 / total - (table[own].sum() / (2 * total)) ** 2
-    groups = [np.flatnonzero(label == c).tolist() for c in names]
+        inside, degree = dict.fromkeys(names, 0.0), dict.fromkeys(names, 0.0)
+        for (i, j), w in weights.items():
+            degree[label[i]] += w
+            degree[label[j]] += w
+            if label[i] == label[j]:
+                inside[label[i]] += w
+        q = sum(inside[c] / total - (degree[c] / (2 * total)) ** 2 for c in names)
+    groups: dict[int, list[int]] = {c: [] for c in names}
+    for i in sorted(every):
+        groups[label[i]].append(i)
     touched = {at_f[f] for t in touch for f in t}
-    return {"lcom4": parts(set(range(len(fields))), every), "lcom4_core": parts(touched, live), "modularity": float(q), "groups": groups}
+    return {"lcom4": parts(set(range(len(fields))), every), "lcom4_core": parts(touched, live), "modularity": float(q), "groups": list(groups.values())}
 
 
 def verdict(fields: Column, methods: Column, core: Column, q: Column, tainted: Column) -> Column:
@@ -136,7 +149,8 @@ def verdict(fields: Column, methods: Column, core: Column, q: Column, tainted: C
 
 def measures(touches: DataFrame, tainted: DataFrame | None = None) -> DataFrame:
     """One row for each type: project, type, n_fields, n_methods, lcom4, lcom4_core, modularity,
-    groups, verdict. A type's graph is small; each is one group in Python."""
+    groups, verdict. Each type is one group in Python, which holds its touches and the links
+    between its methods."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("m")

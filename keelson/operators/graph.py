@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
 from itertools import count
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,48 +91,53 @@ def greedy_communities(nodes: list, weights: dict[tuple, float]) -> dict:
     """Communities by greedy merging: the pair with the largest gain first, ties to the smallest.
 
     A merge of linked x and y gains w / m - d_x d_y / (2 m^2); the merged community keeps the
-    smaller name; it ends when no gain exceeds 1e-12.
+    smaller name; it ends when no gain exceeds 1e-12. Links of a node to itself count for nothing.
+    Memory grows with the links: gains wait in a heap, and one that was made before either of
+    its ends grew is passed over.
     """
-    names = sorted(nodes)
-    place = {n: i for i, n in enumerate(names)}
-    table = np.zeros((len(names), len(names)))
+    near: dict = {n: {} for n in sorted(nodes)}
     for (a, b), w in weights.items():
-        table[place[a], place[b]] += w
-    merged = greedy_merge(table + table.T)
-    return {n: names[merged[place[n]]] for n in nodes}
-
-
-def greedy_merge(table: np.ndarray) -> np.ndarray:
-    """greedy_communities() on a symmetric table of weights: the community of each row."""
-    n = len(table)
-    label, degree, m = np.arange(n), table.sum(axis=1), table.sum() / 2
-    if not m:
-        return label
-    table = np.triu(table, 1)  # row < column throughout
-    gain = np.where(table > 0, table / m - degree[:, None] * degree[None, :] / (2 * m * m), -1.0)
-    best, at = gain.max(axis=1), gain.argmax(axis=1)  # of each row; the first of the largest
-    while True:
-        x = int(best.argmax())
-        y = int(at[x])
-        if best[x] <= 1e-12:
-            return label
-        ends = table[y] + table[:, y]
-        table[y], table[:, y], ends[x] = 0, 0, 0
-        table[x, x + 1 :] += ends[x + 1 :]
-        table[:x, x] += ends[:x]
-        degree[x], degree[y] = degree[x] + degree[y], 0
-        label[label == y] = x
-        scale = degree[x] * degree / (2 * m * m)
-        gain[y], gain[:, y] = -1.0, -1.0
-        gain[x] = np.where(table[x] > 0, table[x] / m - scale, -1.0)
-        gain[:x, x] = np.where(table[:x, x] > 0, table[:x, x] / m - scale[:x], -1.0)
-        # a row is looked through again only if its best link was to x or y
-        again = np.flatnonzero((at == x) | (at == y))
-        again = np.union1d(again, [x, y])
-        best[again], at[again] = gain[again].max(axis=1), gain[again].argmax(axis=1)
-        near = gain[:x, x]
-        better = np.flatnonzero((near > best[:x]) | ((near == best[:x]) & (x < at[:x])))
-        best[better], at[better] = near[better], x
+        if a != b:
+            near[a][b] = near[b][a] = near[a].get(b, 0.0) + w
+    degree = {n: sum(x.values()) for n, x in near.items()}
+    total = sum(degree.values()) / 2
+    into = {n: n for n in near}
+    if not total:
+        return into
+    grown = dict.fromkeys(near, 0)
+    heap: list[tuple] = []
+
+    def offer(a, b) -> None:
+        a, b = min(a, b), max(a, b)
+        gain = near[a][b] / total - degree[a] * degree[b] / (2 * total * total)
+        if gain > 1e-12:
+            heappush(heap, (-gain, a, b, grown[a], grown[b]))
+
+    for a, others in near.items():
+        for b in others:
+            if a < b:
+                offer(a, b)
+    while heap:
+        _, x, y, of_x, of_y = heappop(heap)
+        if of_x != grown[x] or of_y != grown[y]:
+            continue
+        for other, w in near.pop(y).items():
+            del near[other][y]
+            if other != x:
+                near[x][other] = near[other][x] = near[x].get(other, 0.0) + w
+        degree[x] += degree.pop(y)
+        into[y] = x
+        grown[x], grown[y] = grown[x] + 1, -1
+        for other in near[x]:
+            offer(x, other)
+
+    def end(n):
+        while into[n] != n:
+            into[n] = into[into[n]]
+            n = into[n]
+        return n
+
+    return {n: end(n) for n in into}
 
 
 def communities(weights: DataFrame, keys: list[str]) -> DataFrame:

@@ -46,9 +46,9 @@ def longest_prefix(paths: DataFrame, index: DataFrame, path: str = "path", least
     return paths.join(found, keys, "left")
 
 
-def anchored(path: Column, module: Column, self_crate: Column, child_modules: Column) -> Column:
+def anchored(path: Column, module: Column, self_crate: Column, is_child: Column) -> Column:
     """A path of a `use` statement relative to the crate: crate, self, super and the crate's own
-    name fix the base; otherwise it is relative to the module if its head is a module there."""
+    name fix the base; otherwise it is relative to the module if its head is a module there (is_child)."""
     parts = segments(path)
     start = F.struct(F.lit(0).alias("n"), module.alias("base"), F.lit(True).alias("open"))
 
@@ -59,42 +59,49 @@ def anchored(path: Column, module: Column, self_crate: Column, child_modules: Co
 
     done = F.aggregate(parts, start, step)
     rest = F.array_join(F.slice(parts, done["n"] + 1, F.greatest(F.size(parts) - done["n"], F.lit(0))), "::")
-    relative = F.array_contains(child_modules, join_path(module, head(path)))
-    return F.when(done["n"] > 0, join_path(done["base"], rest)).when(relative, join_path(module, path)).otherwise(path)
+    return F.when(done["n"] > 0, join_path(done["base"], rest)).when(is_child, join_path(module, path)).otherwise(path)
+
+
+def _anchored_rows(rows: DataFrame, path: str, scope: Scope) -> DataFrame:
+    """rows (project, module, …) with their column `path` anchored at their own module."""
+    children = scope.modules.where("not startswith(id, '(')").select("project", F.col("id").alias("_child"), F.lit(True).alias("_is")).distinct()
+    own = scope.crates.select("project", F.col("self_crate").alias("_own"))
+    met = rows.join(own, "project", "left").withColumn("_child", join_path(F.col("module"), head(F.col(path)))).join(children, ["project", "_child"], "left")
+    return met.withColumn(path, anchored(F.col(path), F.col("module"), F.col("_own"), F.coalesce("_is", F.lit(False)))).select(*rows.columns)
 
 
 def candidates(raw: DataFrame, scope: Scope) -> DataFrame:
     """raw (project, raw, module) with tries, an array of (path, least) in order, and full:
     what the path is called if none of them hits."""
-    mods = scope.modules.where("not startswith(id, '(')").groupBy("project").agg(F.collect_set("id").alias("mods"))
-    uses = scope.uses.groupBy("project", "module").agg(F.map_from_entries(F.array_agg(F.struct("alias", "path"))).alias("uses"))
-    globs = scope.globs.groupBy("project", "module").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "base"))), lambda x: x["base"]).alias("globs"))
-    root = lambda df, c: df.where("module = ''").select("project", F.col(c).alias(f"root_{c}"))
-    df = raw.join(scope.crates, "project", "left").join(mods, "project", "left").join(uses, ["project", "module"], "left").join(globs, ["project", "module"], "left")
-    df = df.join(root(uses, "uses"), "project", "left").join(root(globs, "globs"), "project", "left")
-    none = F.array().cast("array<string>")
-    df = df.withColumns({"mods": F.coalesce("mods", none), "globs": F.coalesce("globs", none), "root_globs": F.coalesce("root_globs", none), "path": F.regexp_replace("raw", "^(::)+", "")})
+    uses = _anchored_rows(scope.uses.select("project", "module", "alias", "path"), "path", scope)
+    globs = _anchored_rows(scope.globs.select("project", "module", "ord", "base"), "base", scope)
+    globs = globs.groupBy("project", "module").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "base"))), lambda x: x["base"]).alias("globs"))
+    df = raw.join(scope.crates, "project", "left").withColumn("path", F.regexp_replace("raw", "^(::)+", ""))
     module, path, own = F.col("module"), F.col("path"), F.col("self_crate")
     parts, first = segments(path), head(path)
+    # a path names a use of its module by its head, and one of the root by its head or what follows the crate's name
+    df = df.withColumns({"_first": first, "_root_key": F.when(first == own, F.try_element_at(parts, F.lit(2))).otherwise(first)})
+    df = df.join(uses.withColumnsRenamed({"alias": "_first", "path": "_used"}), ["project", "module", "_first"], "left")
+    df = df.join(uses.where("module = ''").select("project", F.col("alias").alias("_root_key"), F.col("path").alias("_root_used")), ["project", "_root_key"], "left")
+    df = df.join(globs, ["project", "module"], "left").join(globs.where("module = ''").select("project", F.col("globs").alias("root_globs")), "project", "left")
+    none = F.array().cast("array<string>")
+    df = df.withColumns({"globs": F.coalesce("globs", none), "root_globs": F.coalesce("root_globs", none)})
     rest = lambda n: F.array_join(F.slice(parts, n + 1, F.greatest(F.size(parts) - n, F.lit(0))), "::")
-    anchor = lambda p, m: anchored(p, m, own, F.col("mods"))
     one = lambda p, least: F.struct(p.alias("path"), least.cast("int").alias("least"))
     floor = F.when(module == "", 1).otherwise(F.size(segments(module)) + 1)
     fixed = (
         F.when(first == "crate", rest(1)).when(first == "self", join_path(module, rest(1))).when(first == "super", join_path(F.coalesce(parent_of(module), F.lit("")), rest(1))).when(first == own, rest(1))
     )
-    alias = F.try_element_at("uses", first)
+    alias, root_path = F.col("_used"), F.col("_root_used")
     by_alias = fixed.isNull() & alias.isNotNull()
-    expanded = F.when(F.size(parts) == 1, anchor(alias, module)).otherwise(join_path(anchor(alias, module), rest(1)))
-    root_key = F.when(first == own, F.try_element_at(parts, F.lit(2))).otherwise(first)
-    root_path = anchor(F.try_element_at("root_uses", root_key), F.lit(""))
+    expanded = F.when(F.size(parts) == 1, alias).otherwise(join_path(alias, rest(1)))
     root_use = F.when(F.size(parts) <= 2, root_path).otherwise(join_path(root_path, rest(2)))
     plain = F.coalesce(fixed, path)
     via_alias = F.array(one(expanded, F.lit(1)), one(join_path(module, expanded), F.size(segments(module)) + 1))
-    beside = F.concat(F.array(one(join_path(module, path), floor)), F.transform("globs", lambda g: one(join_path(anchor(g, module), path), F.lit(1))))
+    beside = F.concat(F.array(one(join_path(module, path), floor)), F.transform("globs", lambda g: one(join_path(g, path), F.lit(1))))
     at_root = F.concat(
         F.when(F.coalesce(root_path, F.lit("")) != "", F.array(one(root_use, F.lit(1)))).otherwise(F.array().cast("array<struct<path:string,least:int>>")),
-        F.transform("root_globs", lambda g: one(join_path(anchor(g, F.lit("")), path), F.lit(1))),
+        F.transform("root_globs", lambda g: one(join_path(g, path), F.lit(1))),
         F.array(one(plain, F.lit(1))),
     )
     tries = F.when(by_alias, via_alias).when(fixed.isNotNull(), at_root).otherwise(F.concat(beside, at_root))

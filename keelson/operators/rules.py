@@ -34,7 +34,6 @@ RENDERS = "kind in ('fn', 'method') and not is_test and (startswith(name, 'rende
 @dataclass(frozen=True)
 class Rule:
     id: str
-    title: str
     tier: str
     kind: str = "decidable"
     gate: bool = True
@@ -42,30 +41,30 @@ class Rule:
 
 #: The rules in the order of reports.
 RULES = (
-    Rule("domain-no-io", "no domain/ symbol reaches an I/O or rendering crate", "lint"),
-    Rule("domain-no-application", "no domain/ symbol references application/", "lint"),
-    Rule("infra-no-application", "no infra/ symbol references application/", "lint"),
-    Rule("concrete-outside-root", "no concrete store or adapter is named outside infra/ and the composition root", "lint"),
-    Rule("call-through-port", "callers take &impl Port, never a concrete", "trait"),
-    Rule("flow-skip", "no edge reaches past the port to what implements it", "lint"),
-    Rule("no-same-level", "patterns at the same level do not call each other", "convention"),
-    Rule("port-signature-purity", "no port method signature names a non-domain type", "trait"),
-    Rule("no-global-mut", "no global mutable state", "convention"),
-    Rule("dto-in-domain", "the domain vocabulary has no Dto in it", "lint"),
-    Rule("use-case-verb", "every use-case is named for the operation it performs", "lint"),
-    Rule("time-injected", "the clock is a port, not a call", "convention"),
-    Rule("converter-is-pure", "a converter takes no port, returns no Result, and does no I/O", "convention"),
-    Rule("port-has-fake", "every port has a fake implementation", "convention", gate=False),
-    Rule("mixed-layer-module", "a module holds symbols from one layer", "convention"),
-    Rule("dependency-inversion", "ports are defined in the domain and implemented in infrastructure", "trait"),
-    Rule("panic-in-domain", "the domain does not unwrap", "clippy"),
-    Rule("untested-port", "a port is called or implemented by something in the test suite", "convention", gate=False),
-    Rule("churn-concentration", "a file that churns and that everything leans on", "convention", gate=False),
-    Rule("store-decides", "a store returns a decision instead of data", "convention", "heuristic", False),
-    Rule("handler-decides", "a command handler branches on domain state", "convention", "heuristic", False),
-    Rule("service-wraps-one", "a service that wraps a single use-case is ceremony without a workflow", "convention", "heuristic", False),
-    Rule("fat-trait", "a port stays narrow enough to fake", "convention", "heuristic", False),
-    Rule("renders-off-store", "a render function reads a view-model, not the object graph", "convention", "heuristic", False),
+    Rule("domain-no-io", "lint"),
+    Rule("domain-no-application", "lint"),
+    Rule("infra-no-application", "lint"),
+    Rule("concrete-outside-root", "lint"),
+    Rule("call-through-port", "trait"),
+    Rule("flow-skip", "lint"),
+    Rule("no-same-level", "convention"),
+    Rule("port-signature-purity", "trait"),
+    Rule("no-global-mut", "convention"),
+    Rule("dto-in-domain", "lint"),
+    Rule("use-case-verb", "lint"),
+    Rule("time-injected", "convention"),
+    Rule("converter-is-pure", "convention"),
+    Rule("port-has-fake", "convention", gate=False),
+    Rule("mixed-layer-module", "convention"),
+    Rule("dependency-inversion", "trait"),
+    Rule("panic-in-domain", "clippy"),
+    Rule("untested-port", "convention", gate=False),
+    Rule("churn-concentration", "convention", gate=False),
+    Rule("store-decides", "convention", "heuristic", False),
+    Rule("handler-decides", "convention", "heuristic", False),
+    Rule("service-wraps-one", "convention", "heuristic", False),
+    Rule("fat-trait", "convention", "heuristic", False),
+    Rule("renders-off-store", "convention", "heuristic", False),
 )
 
 
@@ -117,24 +116,24 @@ class Evaluation:
         io = self.config.group("io") + self.config.group("render")
         hit = self._extern.where("from_known and from_layer = 'domain'").where(starts_with_any(F.col("to_path"), io))
         named = last_by_id(self.model.symbols).select("project", F.col("id").alias("from_id"), "name")
-        return self._out("domain-no-io", hit.join(named, ["project", "from_id"]), F.col("to_path"), F.concat("name", F.lit(" reaches "), "to_path"))
+        return self._out("domain-no-io", hit.join(named, ["project", "from_id"]), F.col("to_path"), F.concat("name", F.lit(" uses "), "to_path"))
 
     def layer_reference(self, rule: str, lower: str, upper: str) -> DataFrame:
         hit = self._local.where((F.col("kind") != "impl") & (F.col("from_layer") == lower) & (F.col("to_layer") == upper))
-        return self._out(rule, hit, F.col("to_id"), F.concat("from_id", F.lit(" -> "), "to_id"))
+        return self._out(rule, hit, F.col("to_id"), F.concat("from_id", F.lit(" refers to "), "to_id"))
 
     def concrete_outside_root(self) -> DataFrame:
         inside = F.coalesce(F.col("from_layer").isin("infrastructure", "composition-root", "test"), F.lit(False))
         concrete = self.labels.where(F.col("pattern").isin(*CONCRETE) & ~F.col("inherited")).select("project", F.col("id").alias("to_id"))
         hit = self._local.where((F.col("kind") != "impl") & ~inside).join(concrete, ["project", "to_id"], "left_semi")
-        return self._out("concrete-outside-root", hit, F.col("to_id"), F.concat("from_id", F.lit(" names the concrete "), "to_id"))
+        return self._out("concrete-outside-root", hit, F.col("to_id"), F.concat("from_id", F.lit(" depends on the concrete "), "to_id"))
 
     def call_through_port(self) -> DataFrame:
         concrete = self.labels.where(F.col("pattern").isin(*CONCRETE)).groupBy("project", leaf(F.col("id")).alias("leaf")).agg(F.min("id").alias("concrete"))
         callers = self.symbols.where(F.col("pattern").isin("use-case", "service", "command-handler"))
         params = callers.select("project", "id", "file", "line", F.explode("sig.params").alias("p")).where(F.coalesce(F.size("p.bounds"), F.lit(0)) < 1)
         wanted = params.select("project", "id", "file", "line", "p", F.explode("p.ty_paths").alias("want")).withColumn("leaf", leaf(F.col("want")))
-        return self._symbol("call-through-port", wanted.join(concrete, ["project", "leaf"]), F.concat(F.lit("parameter `"), "p.name", F.lit(": "), "p.ty", F.lit("` names a concrete")), F.col("concrete"))
+        return self._symbol("call-through-port", wanted.join(concrete, ["project", "leaf"]), F.concat(F.lit("concrete type behind `"), "p.name", F.lit(": "), "p.ty", F.lit("`")), F.col("concrete"))
 
     def _station(self, pattern: str) -> Column:
         return reduce(lambda c, x: c.when(F.col(pattern) == x[1], x[0]), enumerate(self.config.flow), F.when(F.lit(False), 0))
@@ -142,11 +141,11 @@ class Evaluation:
     def flow_skip(self) -> DataFrame:
         seam = self.config.flow.index("port") if "port" in self.config.flow else -1
         hit = self._local.where((F.col("kind") != "impl") & (self._station("from_pattern") < seam) & (self._station("to_pattern") > seam))
-        return self._out("flow-skip", hit, F.col("to_id"), F.concat("from_pattern", F.lit(" reaches "), "to_pattern", F.lit(" directly, bypassing the port")))
+        return self._out("flow-skip", hit, F.col("to_id"), F.concat("from_pattern", F.lit(" goes past the port to "), "to_pattern"))
 
     def no_same_level(self) -> DataFrame:
         hit = self._local.where((F.col("kind") == "call") & (F.col("from_id") != F.col("to_id")) & (F.col("from_pattern") == F.col("to_pattern")) & F.col("from_pattern").isin(*LEVELS))
-        return self._out("no-same-level", hit, F.col("to_id"), F.concat("from_pattern", F.lit(" calls "), "to_pattern", F.lit(": move the orchestration up one level")))
+        return self._out("no-same-level", hit, F.col("to_id"), F.concat(F.lit("one "), "from_pattern", F.lit(" calls another")))
 
     def _port_methods(self) -> DataFrame:
         return self.model.symbols.join(self.ports.select("project", F.col("id").alias("parent"), F.col("ord").alias("port_ord")), ["project", "parent"])
@@ -154,27 +153,27 @@ class Evaluation:
     def port_signature_purity(self) -> DataFrame:
         leaks = self.model.edges.where("kind = 'sig' and to_scope = 'extern' and not startswith(to_path, 'std::') and not startswith(to_path, 'core::')")
         hit = self._port_methods().join(leaks.select("project", F.col("from_id").alias("id"), "to_path"), ["project", "id"])
-        return self._symbol("port-signature-purity", hit, F.concat(F.lit("`"), "name", F.lit("` exposes "), "to_path"), F.col("to_path"))
+        return self._symbol("port-signature-purity", hit, F.concat(F.lit("`"), "name", F.lit("` has "), "to_path", F.lit(" in its signature")), F.col("to_path"))
 
     def no_global_mut(self) -> DataFrame:
         ty = F.try_element_at("fields", F.lit(1))["ty"]
         cell = F.try_element_at(F.filter(F.array(*map(F.lit, CELLS)), lambda c: F.contains(F.col("_ty"), c)), F.lit(1))
-        why = F.when(F.startswith("_ty", F.lit("mut ")), "static mut").otherwise(F.concat(F.lit("static holding "), cell))
+        why = F.when(F.startswith("_ty", F.lit("mut ")), "static mut").otherwise(F.concat(F.lit("static with a "), cell))
         hit = self.model.symbols.where("kind = 'static' and not is_test").withColumn("_ty", ty).withColumn("_why", why).where("_why is not null")
-        return self._symbol("no-global-mut", hit, F.concat("name", F.lit(": "), "_why", F.lit(" — `"), "_ty", F.lit("`")))
+        return self._symbol("no-global-mut", hit, F.concat("name", F.lit(" is a "), "_why", F.lit(" (`"), "_ty", F.lit("`)")))
 
     def dto_in_domain(self) -> DataFrame:
         hit = self.symbols.where(F.col("layer") == "domain").where(ends_with_any(F.col("name"), self.config.forbid_in_domain))
-        return self._symbol("dto-in-domain", hit, F.concat(F.lit("`"), "name", F.lit("` is named for a transport layer")))
+        return self._symbol("dto-in-domain", hit, F.concat(F.lit("`"), "name", F.lit("` carries a transport suffix")))
 
     def use_case_verb(self) -> DataFrame:
         hit = self.symbols.where(USE_CASE_DIR).where("coalesce(pattern, '') != 'use-case'")
-        return self._symbol("use-case-verb", hit, F.concat(F.lit("`"), "name", F.lit("` does not begin with an allowlisted verb")))
+        return self._symbol("use-case-verb", hit, F.concat(F.lit("`"), "name", F.lit("` starts with none of the verbs")))
 
     def time_injected(self) -> DataFrame:
         inside = F.coalesce(F.col("from_layer").isin("infrastructure", "test"), F.lit(False))
         hit = self._extern.where(~inside).where(starts_with_any(F.col("to_path"), self.config.group("time")))
-        return self._out("time-injected", hit, F.col("to_path"), F.concat("from_id", F.lit(" calls "), "to_path", F.lit(" directly")))
+        return self._out("time-injected", hit, F.col("to_path"), F.concat("from_id", F.lit(" asks "), "to_path", F.lit(" for the time")))
 
     def converter_is_pure(self) -> DataFrame:
         converters = self.symbols.where("pattern = 'converter'")
@@ -183,19 +182,19 @@ class Evaluation:
         dirty = self.model.edges.where("to_scope = 'extern'").where(starts_with_any(F.col("to_path"), self.config.group("io")))
         reaches = converters.join(dirty.select("project", F.col("from_id").alias("id")), ["project", "id"], "left_semi")
         say = lambda df, what: self._symbol("converter-is-pure", df, F.concat(F.lit("`"), "name", F.lit(f"` {what}")))
-        return say(takes, "takes a port").unionAll(say(fails, "returns Result")).unionAll(say(reaches, "reaches an I/O crate"))
+        return say(takes, "is given a port").unionAll(say(fails, "may fail")).unionAll(say(reaches, "does I/O"))
 
     def port_has_fake(self) -> DataFrame:
         fake = F.col("is_test") | F.endswith("file", F.lit("mem.rs")) | F.contains("file", F.lit("/fake"))
         impls = self.model.impls.where("trait_id is not null").groupBy("project", F.col("trait_id").alias("id")).agg(F.count("*").alias("n"), F.bool_or(fake).alias("fake"))
         hit = self.ports.join(impls, ["project", "id"], "left").where("not coalesce(fake, false)")
-        some = F.concat(F.lit("`"), "name", F.lit("` has "), F.col("n").cast("string"), F.lit(" impl(s), none of them a fake"))
-        return self._symbol("port-has-fake", hit, F.when(F.col("n").isNull(), F.concat(F.lit("`"), "name", F.lit("` is a dead port: no impl"))).otherwise(some))
+        some = F.concat(F.lit("`"), "name", F.lit("` has "), F.col("n").cast("string"), F.lit(" implementation(s) and no fake among them"))
+        return self._symbol("port-has-fake", hit, F.when(F.col("n").isNull(), F.concat(F.lit("`"), "name", F.lit("` has no implementation"))).otherwise(some))
 
     def mixed_layer_module(self) -> DataFrame:
         files = self.model.modules.groupBy("project", F.col("id").alias("module")).agg(F.min_by("file", "ord").alias("file"))
         hit = mixed_layer_modules(self.model.symbols, self.classified).join(files, ["project", "module"], "left").withColumn("file", F.coalesce("file", F.lit("")))
-        return self._out("mixed-layer-module", hit, F.lit(""), F.concat("module", F.lit(" spans "), F.array_join("layers", " + ")), F.lit(1), "module")
+        return self._out("mixed-layer-module", hit, F.lit(""), F.concat("module", F.lit(" mixes "), F.array_join("layers", " and ")), F.lit(1), "module")
 
     def _inversions(self) -> DataFrame:
         own = self.labels.select("project", "id", "own_layer")
@@ -207,12 +206,12 @@ class Evaluation:
         found = self._inversions()
         bad = found.where("tl = 'infrastructure' and cl = 'domain'")
         good = found.where("tl = 'domain' and cl in ('infrastructure', 'test')").join(bad.select("project").distinct(), "project", "left_anti")
-        bad = self._out("dependency-inversion", bad, F.col("trait_id"), F.concat(F.lit("domain type implements infra trait "), "trait_path"), from_id="type_id")
-        return bad.unionAll(self._out("dependency-inversion", good, F.col("trait_id"), F.concat(F.lit("impl "), "trait_path", F.lit(" for "), "type_path"), from_id="type_id"))
+        bad = self._out("dependency-inversion", bad, F.col("trait_id"), F.concat(F.lit("domain type realises infrastructure trait "), "trait_path"), from_id="type_id")
+        return bad.unionAll(self._out("dependency-inversion", good, F.col("trait_id"), F.concat("type_path", F.lit(" realises "), "trait_path"), from_id="type_id"))
 
     def panic_in_domain(self) -> DataFrame:
         hit = self.symbols.where("layer = 'domain'").select("project", "id", "file", "name", F.explode("panics").alias("p"))
-        return self._out("panic-in-domain", hit, F.col("p.method"), F.concat(F.lit("`"), "id", F.lit("` can abort on "), "p.method"), F.col("p.line"), "id")
+        return self._out("panic-in-domain", hit, F.col("p.method"), F.concat(F.lit("`"), "id", F.lit("` may stop at "), "p.method"), F.col("p.line"), "id")
 
     def untested_port(self) -> DataFrame:
         tests = self.model.symbols.where("is_test").select("project", F.col("id").alias("from_id")).distinct()
@@ -220,8 +219,8 @@ class Evaluation:
         faked = self.model.impls.where("is_test and trait_id is not null").select("project", F.col("trait_id").alias("id"))
         hit = self.ports.join(called.unionAll(faked), ["project", "id"], "left_anti")
         n = self.model.targets.where("kind = 'test'").groupBy("project").agg(F.count("*").alias("_targets"))
-        say = F.concat(F.lit("no test in the "), F.coalesce("_targets", F.lit(0)).cast("string"), F.lit(" scanned test target(s) calls or implements this port"))
-        return self._symbol("untested-port", hit.join(F.broadcast(n), "project", "left"), say)
+        say = F.concat(F.lit("neither called nor realised in "), F.coalesce("_targets", F.lit(0)).cast("string"), F.lit(" test target(s)"))
+        return self._symbol("untested-port", hit.join(n, "project", "left"), say)
 
     def churn_concentration(self) -> DataFrame:
         files = churn_ops.scored(churn_ops.per_file(self.commit_files), self.deps)
@@ -231,8 +230,8 @@ class Evaluation:
         first = self.model.symbols.where("not is_test").groupBy("project", "module").agg(F.min_by("line", "ord").alias("first_line"))
         found = found.join(module, ["project", "file"], "left").join(first, ["project", "module"], "left")
         say = F.concat(
-            F.lit("this file holds "), F.round("share", 0).cast("int").cast("string"), F.lit("% of the crate's churn and "), F.col("deps").cast("string"), F.lit(" of its "), F.col("n_files").cast("string"),
-            F.lit(" committed files lean on it — top decile on both, over "), F.col("total").cast("string"), F.lit(" commit(s) since "), F.col("since").cast("string"),
+            F.round("share", 0).cast("int").cast("string"), F.lit("% of all churn; "), F.col("deps").cast("string"), F.lit(" of "), F.col("n_files").cast("string"),
+            F.lit(" files depend on it; "), F.col("total").cast("string"), F.lit(" commit(s) since "), F.col("since").cast("string"),
         )
         return self._out("churn-concentration", found, F.lit(""), say, F.coalesce("first_line", F.lit(1)), "path")
 
@@ -240,9 +239,9 @@ class Evaluation:
     def _domain_enums(self) -> DataFrame:
         return self.symbols.where("kind = 'enum' and layer = 'domain'").select("project", F.col("name").alias("enum")).distinct()
 
-    def _branches(self, rule: str, symbols: DataFrame, verb: str) -> DataFrame:
+    def _branches(self, rule: str, symbols: DataFrame) -> DataFrame:
         heads = symbols.select("project", "id", "file", "line", "name", F.explode(F.array_distinct(F.transform("matches_on", head))).alias("enum"))
-        return self._symbol(rule, heads.join(self._domain_enums, ["project", "enum"]), F.concat(F.lit("`"), "name", F.lit(f"` {verb} on "), "enum"), F.col("enum"))
+        return self._symbol(rule, heads.join(self._domain_enums, ["project", "enum"]), F.concat(F.lit("`"), "name", F.lit("` decides on "), "enum"), F.col("enum"))
 
     def _store_methods(self) -> DataFrame:
         return self.symbols.where(F.col("pattern").isin(*CONCRETE) & (F.col("kind") == "method"))
@@ -250,25 +249,25 @@ class Evaluation:
     def store_decides(self) -> DataFrame:
         methods = self._store_methods().where("sig is not null")
         returned = methods.select("project", "id", "file", "line", "name", F.explode("sig.ret_paths").alias("p")).withColumn("enum", leaf(F.col("p"))).join(self._domain_enums, ["project", "enum"])
-        say = F.concat(F.lit("`"), "name", F.lit("` returns the domain enum "), "enum")
-        return self._symbol("store-decides", returned, say, F.col("enum")).unionAll(self._branches("store-decides", methods, "branches"))
+        say = F.concat(F.lit("`"), "name", F.lit("` hands back the domain enum "), "enum")
+        return self._symbol("store-decides", returned, say, F.col("enum")).unionAll(self._branches("store-decides", methods))
 
     def handler_decides(self) -> DataFrame:
-        return self._branches("handler-decides", self.symbols.where("pattern = 'command-handler'"), "matches")
+        return self._branches("handler-decides", self.symbols.where("pattern = 'command-handler'"))
 
     def service_wraps_one(self) -> DataFrame:
         calls = self._local.where("kind = 'call' and to_pattern = 'use-case'").groupBy("project", F.col("from_id").alias("id")).agg(F.count("*").alias("n"), F.min("to_id").alias("to_id")).where("n = 1")
         hit = self.symbols.where("pattern = 'service' and kind in ('fn', 'method')").join(calls, ["project", "id"])
-        return self._symbol("service-wraps-one", hit, F.concat(F.lit("`"), "name", F.lit("` wraps exactly one use-case")), F.col("to_id"))
+        return self._symbol("service-wraps-one", hit, F.concat(F.lit("`"), "name", F.lit("` calls a single use-case")), F.col("to_id"))
 
     def fat_trait(self) -> DataFrame:
         n = self.model.symbols.where("parent is not null").groupBy("project", F.col("parent").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") > WIDEST_TRAIT)
-        say = F.concat(F.lit("`"), "name", F.lit("` declares "), F.col("n").cast("string"), F.lit(f" methods (> {WIDEST_TRAIT})"))
+        say = F.concat(F.lit("`"), "name", F.lit("` has "), F.col("n").cast("string"), F.lit(f" methods, more than {WIDEST_TRAIT}"))
         return self._symbol("fat-trait", self.ports.join(n, ["project", "id"]), say)
 
     def renders_off_store(self) -> DataFrame:
         hit = self.symbols.where(RENDERS).select("project", "id", "file", "line", "name", F.explode("field_chains").alias("chain"))
-        return self._symbol("renders-off-store", hit, F.concat(F.lit("`"), "name", F.lit("` reaches through `"), "chain", F.lit("`")), F.col("chain"))
+        return self._symbol("renders-off-store", hit, F.concat(F.lit("`"), "name", F.lit("` walks `"), "chain", F.lit("`")), F.col("chain"))
 
     # -- the report
 
@@ -320,23 +319,23 @@ class Evaluation:
         else:
             out = out.withColumns({"enough": F.lit(False), "reason": F.lit("no history was given")})
         no = lambda flag, why: F.when(~F.coalesce(F.col(flag) if isinstance(flag, str) else flag, F.lit(False)), why)
-        missing = lambda a, b: no(f"l_{a}", f"no symbol classifies as {a}").when(~F.col(f"l_{b}"), f"no symbol classifies as {b}")
-        port = lambda: no("port", "no port trait exists")
+        missing = lambda a, b: no(f"l_{a}", f"nothing belongs to {a}").when(~F.col(f"l_{b}"), f"nothing belongs to {b}")
+        port = lambda: no("port", "there is no port")
         why = {
-            "domain-no-io": no("l_domain", "no symbol classifies as domain"),
+            "domain-no-io": no("l_domain", "nothing belongs to domain"),
             "domain-no-application": missing("domain", "application"), "infra-no-application": missing("infrastructure", "application"),
-            "concrete-outside-root": no("concrete", "no concrete store or adapter exists"), "call-through-port": port(),
-            "flow-skip": F.lit("`flow` declares no port station") if seam is None else no(F.col("above") & F.col("below"), "no station exists on both sides of the port seam"),
-            "no-same-level": no("level", "no use-case, service, store or handler exists"), "port-signature-purity": port(),
-            "dto-in-domain": no("l_domain", "no symbol classifies as domain"), "use-case-verb": no("use_case_dir", "no domain/use_cases/ directory"),
-            "time-injected": F.lit(None) if self.config.group("time") else F.lit("no [externs] time group configured"),
-            "converter-is-pure": no("converter", "no symbol classifies as converter"), "port-has-fake": port(),
-            "mixed-layer-module": no("pair", "no module has two classified symbols to compare"), "dependency-inversion": port(),
-            "panic-in-domain": no("l_domain", "no symbol classifies as domain"),
-            "untested-port": port().when(F.coalesce("tests", F.lit(0)) == 0, "no test target was scanned, so nothing can be said about what a test calls"),
+            "concrete-outside-root": no("concrete", "there is no store or adapter"), "call-through-port": port(),
+            "flow-skip": F.lit("the flow has no port") if seam is None else no(F.col("above") & F.col("below"), "the flow has nothing on one side of the port"),
+            "no-same-level": no("level", "there is no use-case, service, store or handler"), "port-signature-purity": port(),
+            "dto-in-domain": no("l_domain", "nothing belongs to domain"), "use-case-verb": no("use_case_dir", "domain/use_cases/ is not there"),
+            "time-injected": F.lit(None) if self.config.group("time") else F.lit("the configuration names no sources of time"),
+            "converter-is-pure": no("converter", "there is no converter"), "port-has-fake": port(),
+            "mixed-layer-module": no("pair", "no module has two labelled symbols"), "dependency-inversion": port(),
+            "panic-in-domain": no("l_domain", "nothing belongs to domain"),
+            "untested-port": port().when(F.coalesce("tests", F.lit(0)) == 0, "there is no test target"),
             "churn-concentration": F.when(~F.coalesce("enough", F.lit(False)), F.coalesce("reason", F.lit("no history was given"))),
-            "store-decides": no("store_method", "no store or adapter method exists"), "handler-decides": no("handler", "no command-handler exists"),
-            "service-wraps-one": no("service", "no symbol classifies as service"), "fat-trait": port(), "renders-off-store": no("render", "no render function found"),
+            "store-decides": no("store_method", "no store or adapter has a method"), "handler-decides": no("handler", "there is no command-handler"),
+            "service-wraps-one": no("service", "there is no service"), "fat-trait": port(), "renders-off-store": no("render", "nothing renders"),
         }
         return out.select("project", *[why.get(r.id, F.lit(None)).cast("string").alias(r.id) for r in RULES])
 
@@ -350,7 +349,7 @@ class Evaluation:
             ) for i, r in enumerate(RULES)
         ])
         rules = self.premises().select("project", F.explode(table).alias("r")).select("project", "r.*")
-        found = self.instances().groupBy("project", "rule").agg(F.count("*").alias("n"), F.count_if(F.startswith("detail", F.lit("domain type implements"))).alias("bad"))
+        found = self.instances().groupBy("project", "rule").agg(F.count("*").alias("n"), F.count_if(F.startswith("detail", F.lit("domain type realises"))).alias("bad"))
         out = rules.join(found, ["project", "rule"], "left")
         n = F.when(F.col("because").isNull(), F.coalesce("n", F.lit(0).cast("bigint"))).otherwise(F.lit(0).cast("bigint"))
         delegated = F.lit(graph_b) & (F.col("rule") == "domain-no-io") & F.col("because").isNull()
@@ -358,7 +357,7 @@ class Evaluation:
             F.when(delegated, "delegated").when(F.col("because").isNotNull(), "unevaluable")
             .when((F.col("rule") == "dependency-inversion") & (F.coalesce("bad", F.lit(0)) == 0), "upheld").when(n > 0, "violated").otherwise("pass")
         )
-        out = out.select("project", "no", "rule", "tier", "kind", "gate", status.alias("status"), F.when(delegated, 'crate_graph = "B": the build rejects this import').otherwise(F.coalesce("because", F.lit(""))).alias("because"), n.alias("n"))
+        out = out.select("project", "no", "rule", "tier", "kind", "gate", status.alias("status"), F.when(delegated, "left to the build, which keeps the crates apart").otherwise(F.coalesce("because", F.lit(""))).alias("because"), n.alias("n"))
         warns = (F.col("status") == "violated") & (F.col("gate") | (F.col("rule") == "port-has-fake"))
         tone = F.when(warns, "warn").when(F.col("status").isin("violated", "unevaluable"), "note").otherwise("good")
         return out.withColumn("tone", tone)

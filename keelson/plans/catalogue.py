@@ -10,9 +10,10 @@ from pyspark.sql import Window as W
 
 from .. import functions as fn
 from ..operators import churn, classify, cochange, cohesion, graph, impact, links, ratchet, resolve, rules, views, wiring
+from ..sources import gitlog
 from ..streaming import watch
 from . import sql
-from .adapters import CONFIG, PROJECT, Trade
+from .adapters import CONFIG, PROJECT, Trade, trade
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,7 +23,7 @@ def query(*names: str, sql_body: str | None = None, raw: bool = False):
     """Registers a function of Trade; names are the expressions that its SQL needs."""
 
     def register(f: Callable[[Trade], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Trade(spark, sf_dir)).drop("project")
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(trade(spark, sf_dir)).drop("project")
         if sql_body is not None:
             ORACLES[f.__name__] = sql_body if raw else sql.with_ctes(sql_body, *names)
         return f
@@ -43,7 +44,7 @@ def churn_window(t: Trade) -> DataFrame:
     return churn.window(t.commit_files)
 
 
-@query("commits", sql_body="SELECT true AS available, count(DISTINCT hash) >= 20 AS enough, CASE WHEN count(DISTINCT hash) >= 20 THEN '' ELSE count(DISTINCT hash) || ' commit(s) in the window; 20 are needed before churn ranks anything' END AS reason FROM commits")
+@query("commits", sql_body="SELECT true AS available, count(DISTINCT hash) >= 20 AS enough, CASE WHEN count(DISTINCT hash) >= 20 THEN '' ELSE count(DISTINCT hash) || ' of 20 commits that a ranking needs' END AS reason FROM commits")
 def churn_availability(t: Trade) -> DataFrame:
     return churn.availability(t.commit_files)
 
@@ -131,43 +132,39 @@ def url_resolution(t: Trade) -> DataFrame:
 # ---------------------------------------------------------------- classification
 
 
-def _classified(t: Trade) -> classify.Classified:
-    return classify.classify(t.symbols, t.edges, t.impls, CONFIG)
-
-
 @query("labels", sql_body="SELECT id, pattern, layer, inherited, ambiguous FROM labels")
 def classify_symbols(t: Trade) -> DataFrame:
-    return _classified(t).by_symbol
+    return t.classified.by_symbol
 
 
 @query("own", sql_body="SELECT id, pattern FROM own WHERE ambiguous")
 def classify_ambiguous_groups(t: Trade) -> DataFrame:
-    return _classified(t).by_symbol.where("ambiguous").select("project", "id", "pattern")
+    return t.classified.by_symbol.where("ambiguous").select("project", "id", "pattern")
 
 
 @query("labels", sql_body="SELECT id, pattern FROM labels WHERE inherited")
 def inherit_labels(t: Trade) -> DataFrame:
-    return _classified(t).by_symbol.where("inherited").select("project", "id", "pattern")
+    return t.classified.by_symbol.where("inherited").select("project", "id", "pattern")
 
 
 @query("sym", "own", sql_body="SELECT c AS classified, t AS total, p AS ports, c::DOUBLE / t AS ratio FROM (SELECT (SELECT count(*) FROM own) AS c, (SELECT count(*) FROM sym WHERE parent IS NULL) AS t, (SELECT count(*) FROM sym WHERE kind = 'trait' AND starts_with(file, 'domain/ports/')) AS p)")
 def coverage(t: Trade) -> DataFrame:
-    return classify.coverage(t.symbols, _classified(t))
+    return classify.coverage(t.symbols, t.classified)
 
 
 @query("own", sql_body="SELECT pattern, NULL AS layer, count(*) AS n FROM own GROUP BY pattern UNION ALL SELECT NULL, layer, count(*) FROM own GROUP BY layer")
 def coverage_by_pattern_layer(t: Trade) -> DataFrame:
-    return classify.coverage_by_label(_classified(t))
+    return classify.coverage_by_label(t.classified)
 
 
 @query("sym", "own", sql_body="SELECT file, count(*) AS n, arg_min(file || ':' || line || ' ' || name, ord) AS example FROM sym WHERE parent IS NULL AND id NOT IN (SELECT id FROM own) GROUP BY file")
 def gaps(t: Trade) -> DataFrame:
-    return classify.gaps(_classified(t))
+    return classify.gaps(t.classified)
 
 
 @query("placed", sql_body="SELECT module, string_agg(DISTINCT own_layer, '+' ORDER BY own_layer) AS layers FROM placed WHERE parent IS NULL AND NOT is_test AND own_layer IS NOT NULL GROUP BY module HAVING count(DISTINCT own_layer) > 1")
 def mixed_layer_modules(t: Trade) -> DataFrame:
-    return classify.mixed_layer_modules(t.symbols, _classified(t)).withColumn("layers", F.array_join("layers", "+"))
+    return classify.mixed_layer_modules(t.symbols, t.classified).withColumn("layers", F.array_join("layers", "+"))
 
 
 @query("reach", sql_body="SELECT id, string_agg(to_path, ',' ORDER BY to_path) AS reach FROM reach GROUP BY id")
@@ -178,13 +175,9 @@ def extern_reach(t: Trade) -> DataFrame:
 # ---------------------------------------------------------------- rules
 
 
-def _rules(t: Trade) -> rules.Evaluation:
-    return rules.Evaluation(t.model, _classified(t), CONFIG, t.commit_files, churn.dependents(t.brand_links, t.brand_modules))
-
-
 def _rule_query(rule: str) -> None:
     name = "rule_" + rule.replace("-", "_")
-    QUERIES[name] = lambda spark, sf_dir: _rules(Trade(spark, sf_dir)).instances((rule,)).drop("project")
+    QUERIES[name] = lambda spark, sf_dir: trade(spark, sf_dir).evaluation.instances((rule,)).drop("project")
     ORACLES[name] = sql.rule_sql(rule)
 
 
@@ -193,29 +186,37 @@ for _r in rules.RULES:
 
 _NEEDED, _INSTANCES = sql.all_instances()
 _UNTIL = "VALUES " + ", ".join(f"({i}, '{r.id}', '{r.tier}', '{r.kind}', {str(r.gate).lower()})" for i, r in enumerate(rules.RULES))
-_WHY = """
-SELECT 'flow-skip' AS rule, CASE WHEN NOT (bool_or(pattern IN ('command-handler', 'service', 'use-case')) AND bool_or(pattern = 'store')) THEN 'no station exists on both sides of the port seam' END AS why FROM placed
-UNION ALL SELECT 'renders-off-store', CASE WHEN NOT bool_or(pattern = 'view-model' AND kind IN ('fn', 'method') AND NOT is_test) THEN 'no render function found' END FROM placed
-UNION ALL SELECT 'store-decides', CASE WHEN NOT bool_or(pattern IN ('store', 'adapter', 'infra-impl') AND kind = 'method') THEN 'no store or adapter method exists' END FROM placed
-UNION ALL SELECT 'handler-decides', CASE WHEN NOT bool_or(pattern = 'command-handler') THEN 'no command-handler exists' END FROM placed
-UNION ALL SELECT 'service-wraps-one', CASE WHEN NOT bool_or(pattern = 'service' AND kind IN ('fn', 'method')) THEN 'no symbol classifies as service' END FROM placed
-UNION ALL SELECT 'converter-is-pure', CASE WHEN NOT bool_or(pattern = 'converter') THEN 'no symbol classifies as converter' END FROM placed
-UNION ALL SELECT 'concrete-outside-root', CASE WHEN NOT bool_or(pattern IN ('store', 'adapter', 'infra-impl') AND NOT inherited) THEN 'no concrete store or adapter exists' END FROM placed"""
+_NO_PORT = "CASE WHEN NOT bool_or(kind = 'trait' AND pattern = 'port') THEN 'there is no port' END"
+_WHY = f"""
+SELECT unnest(['call-through-port', 'port-signature-purity', 'port-has-fake', 'dependency-inversion', 'untested-port', 'fat-trait']) AS rule, {_NO_PORT} AS why FROM placed
+UNION ALL SELECT unnest(['domain-no-io', 'dto-in-domain', 'panic-in-domain']), CASE WHEN NOT bool_or(layer = 'domain') THEN 'nothing belongs to domain' END FROM placed
+UNION ALL SELECT 'domain-no-application', CASE WHEN NOT bool_or(layer = 'domain') THEN 'nothing belongs to domain' WHEN NOT bool_or(layer = 'application') THEN 'nothing belongs to application' END FROM placed
+UNION ALL SELECT 'infra-no-application', CASE WHEN NOT bool_or(layer = 'infrastructure') THEN 'nothing belongs to infrastructure' WHEN NOT bool_or(layer = 'application') THEN 'nothing belongs to application' END FROM placed
+UNION ALL SELECT 'concrete-outside-root', CASE WHEN NOT bool_or(pattern IN ('store', 'adapter', 'infra-impl') AND NOT inherited) THEN 'there is no store or adapter' END FROM placed
+UNION ALL SELECT 'flow-skip', CASE WHEN NOT (bool_or(pattern IN ('command-handler', 'service', 'use-case')) AND bool_or(pattern = 'store')) THEN 'the flow has nothing on one side of the port' END FROM placed
+UNION ALL SELECT 'no-same-level', CASE WHEN NOT bool_or(pattern IN ('use-case', 'service', 'store', 'command-handler')) THEN 'there is no use-case, service, store or handler' END FROM placed
+UNION ALL SELECT 'use-case-verb', CASE WHEN NOT bool_or(kind = 'fn' AND contains(file, 'domain/use_cases/') AND NOT is_test) THEN 'domain/use_cases/ is not there' END FROM placed
+UNION ALL SELECT 'converter-is-pure', CASE WHEN NOT bool_or(pattern = 'converter') THEN 'there is no converter' END FROM placed
+UNION ALL SELECT 'mixed-layer-module', CASE WHEN NOT bool_or(n >= 2) THEN 'no module has two labelled symbols' END FROM (SELECT module, count(*) AS n FROM placed WHERE NOT inherited GROUP BY module)
+UNION ALL SELECT 'store-decides', CASE WHEN NOT bool_or(pattern IN ('store', 'adapter', 'infra-impl') AND kind = 'method') THEN 'no store or adapter has a method' END FROM placed
+UNION ALL SELECT 'handler-decides', CASE WHEN NOT bool_or(pattern = 'command-handler') THEN 'there is no command-handler' END FROM placed
+UNION ALL SELECT 'service-wraps-one', CASE WHEN NOT bool_or(pattern = 'service' AND kind IN ('fn', 'method')) THEN 'there is no service' END FROM placed
+UNION ALL SELECT 'renders-off-store', CASE WHEN NOT bool_or(pattern = 'view-model' AND kind IN ('fn', 'method') AND NOT is_test) THEN 'nothing renders' END FROM placed"""
 _FINDINGS = f"""
 SELECT r.*, CASE WHEN why IS NOT NULL THEN 'unevaluable' WHEN rule = 'dependency-inversion' AND coalesce(bad, 0) = 0 THEN 'upheld' WHEN coalesce(n, 0) > 0 THEN 'violated' ELSE 'pass' END AS status, coalesce(why, '') AS because, CASE WHEN why IS NULL THEN coalesce(n, 0) ELSE 0 END AS n
 FROM ({_UNTIL}) r(no, rule, tier, kind, gate)
-LEFT JOIN (SELECT rule, count(*) AS n, count(*) FILTER (starts_with(detail, 'domain type implements')) AS bad FROM ({_INSTANCES}) GROUP BY rule) i USING (rule)
+LEFT JOIN (SELECT rule, count(*) AS n, count(*) FILTER (starts_with(detail, 'domain type realises')) AS bad FROM ({_INSTANCES}) GROUP BY rule) i USING (rule)
 LEFT JOIN ({_WHY}) w USING (rule)"""
 
 
 @query(*dict.fromkeys([*_NEEDED, "placed"]), sql_body=f"SELECT no::INTEGER AS no, rule, tier, kind, gate, status, because, n, CASE WHEN status = 'violated' AND (gate OR rule = 'port-has-fake') THEN 'warn' WHEN status IN ('violated', 'unevaluable') THEN 'note' ELSE 'good' END AS tone FROM ({_FINDINGS})")
 def findings_report(t: Trade) -> DataFrame:
-    return _rules(t).findings()
+    return t.findings
 
 
 @query(*_NEEDED, sql_body=f"SELECT rule, from_id, to_id, file, line, detail FROM ({_INSTANCES})")
 def rule_instances(t: Trade) -> DataFrame:
-    return _rules(t).instances()
+    return t.evaluation.instances()
 
 
 _GATES = "gate AND kind = 'decidable' AND status <> 'delegated'"
@@ -223,28 +224,27 @@ _GATES = "gate AND kind = 'decidable' AND status <> 'delegated'"
 
 @query(*dict.fromkeys([*_NEEDED, "placed"]), sql_body=f"SELECT count(*) FILTER (status = 'upheld') AS upheld, count(*) FILTER (status = 'violated') AS violated, count(*) FILTER (status = 'unevaluable') AS unevaluable, count(*) FILTER (status IN ('pass', 'delegated')) AS passing FROM ({_FINDINGS})")
 def finding_counts(t: Trade) -> DataFrame:
-    return ratchet.counts(_rules(t).findings())
+    return ratchet.counts(t.findings)
 
 
 @query(*dict.fromkeys([*_NEEDED, "placed"]), sql_body=f"SELECT coalesce(sum(greatest(n, 1)) FILTER (status = 'violated'), 0)::BIGINT AS violations, count(*) FILTER (status = 'violated' AND {_GATES}) AS gating_failures, count(*) AS rules FROM ({_FINDINGS})")
 def finding_totals(t: Trade) -> DataFrame:
-    return ratchet.totals(_rules(t).findings())
+    return ratchet.totals(t.findings)
 
 
 @query(*dict.fromkeys([*_NEEDED, "placed"]), sql_body=f"SELECT CASE WHEN NOT ({_GATES}) THEN 'advisory' WHEN tier = 'compiler' THEN 'compiler' WHEN tier = 'clippy' THEN 'clippy' ELSE 'checked-here' END AS bucket, count(*) AS n FROM ({_FINDINGS}) GROUP BY 1")
 def enforcement_partition(t: Trade) -> DataFrame:
-    return ratchet.enforcement(_rules(t).findings())
+    return ratchet.enforcement(t.findings)
 
 
 @query(*dict.fromkeys([*_NEEDED, "placed"]), sql_body=f"SELECT DISTINCT substr(sha1(rule || '|' || from_id || '|' || to_id), 1, 12) AS fp, rule, from_id, to_id FROM ({_INSTANCES}) WHERE rule IN (SELECT rule FROM ({_FINDINGS}) WHERE status = 'violated' AND {_GATES})")
 def current_violations(t: Trade) -> DataFrame:
-    e = _rules(t)
-    return ratchet.current(e.findings(), e.instances())
+    return ratchet.current(t.findings, t.evaluation.instances())
 
 
 @query(*dict.fromkeys([*_NEEDED, "placed"]), sql_body=f"SELECT rule, CASE WHEN kind = 'heuristic' THEN 'heuristic' ELSE 'advisory' END AS reason FROM ({_FINDINGS}) WHERE status = 'violated' AND NOT gate")
 def excluded_violations(t: Trade) -> DataFrame:
-    return ratchet.excluded(_rules(t).findings())
+    return ratchet.excluded(t.findings)
 
 
 # ---------------------------------------------------------------- ratchet, on two sets of orders
@@ -407,6 +407,37 @@ def cohesion_measures(t: Trade) -> DataFrame:
     return cohesion.measures(_touched(t)).select("project", "type", "n_fields", "n_methods", "lcom4", "lcom4_core", F.round("modularity", 9).alias("modularity"), F.size("groups").alias("n_groups"), "verdict")
 
 
+@query("members", sql_body="SELECT type, m, method, array_to_string(touch, ',') AS touch, array_to_string(calls, ',') AS calls FROM members")
+def type_members(t: Trade) -> DataFrame:
+    join = lambda c: F.array_join(F.array_sort(c), ",").alias(c)
+    return cohesion.members(t.symbols).select("project", "type", F.col("m").cast("bigint").alias("m"), "method", join("touch"), join("calls"))
+
+
+_CORE = """
+, fields AS (SELECT id AS type, unnest(fields) AS f FROM types WHERE id IN (SELECT type FROM members)), called AS (SELECT type, unnest(calls) AS method FROM members),
+live AS (SELECT * FROM members WHERE len(touch) > 0 OR len(calls) > 0 OR (type, method) IN (SELECT type, method FROM called)),
+links AS (SELECT type, 'm' || method AS a, unnest(touch) AS b FROM members UNION ALL SELECT type, 'm' || method, 'm' || unnest(calls) FROM members), both_ways AS (SELECT * FROM links UNION SELECT type, b, a FROM links),
+nodes AS (SELECT type, 'm' || method AS node FROM members UNION SELECT type, f FROM fields), r AS (SELECT type, node, node AS cur FROM nodes UNION SELECT r.type, r.node, l.b FROM r JOIN both_ways l ON l.type = r.type AND l.a = r.cur),
+roots AS (SELECT type, node, min(cur) AS root FROM r GROUP BY type, node),
+core AS (SELECT type, 'm' || method AS node FROM live UNION SELECT type, unnest(touch) FROM members)
+SELECT t.type, count(DISTINCT t.root)::INTEGER AS lcom4, count(DISTINCT CASE WHEN c.node IS NOT NULL THEN t.root END)::INTEGER AS lcom4_core FROM roots t LEFT JOIN core c ON c.type = t.type AND c.node = t.node GROUP BY t.type"""
+
+
+@query("members", sql_body=_CORE)
+def type_components(t: Trade) -> DataFrame:
+    return cohesion.measures(cohesion.members(t.symbols)).select("project", "type", "lcom4", "lcom4_core")
+
+
+_IDLE = """
+, d AS (SELECT id AS type, unnest(fields) AS field FROM types WHERE id IN (SELECT type FROM members)), m AS (SELECT type, unnest(touch) AS field FROM members), r AS (SELECT type, unnest(reads) AS field FROM members)
+SELECT DISTINCT type, field, CASE WHEN (type, field) NOT IN (SELECT type, field FROM m) THEN 'unused' ELSE 'write-only' END AS state FROM d WHERE (type, field) NOT IN (SELECT type, field FROM m) OR (type, field) NOT IN (SELECT type, field FROM r)"""
+
+
+@query("members", sql_body=_IDLE)
+def type_idle_fields(t: Trade) -> DataFrame:
+    return cohesion.unused_and_write_only(cohesion.members(t.symbols))
+
+
 @query("touches", sql_body="SELECT type, field, 'write-only' AS state FROM touches GROUP BY type, field HAVING NOT bool_or(method % 2 = 0)")
 def unused_and_write_only(t: Trade) -> DataFrame:
     return cohesion.unused_and_write_only(_touched(t))
@@ -477,16 +508,12 @@ def cohesion_verdict(t: Trade) -> DataFrame:
 # ---------------------------------------------------------------- wiring
 
 
-def _wiring(t: Trade) -> wiring.Wiring:
-    return wiring.Wiring(t.model, _classified(t), CONFIG)
-
-
 _VOTE = """SELECT DISTINCT brick AS id, coalesce(first_value(pattern) OVER (PARTITION BY brick ORDER BY n DESC, pattern), 'unclassified') AS pattern FROM (SELECT module || '::*' AS brick, pattern, count(*) FILTER (pattern IS NOT NULL) AS n FROM placed WHERE kind = 'fn' AND parent IS NULL AND NOT is_test GROUP BY 1, 2)"""
 
 
 @query("placed", sql_body=_VOTE)
 def majority_vote(t: Trade) -> DataFrame:
-    return _wiring(t).bricks.where("shape = 'functions'").select("project", "id", "pattern")
+    return t.wiring.bricks.where("shape = 'functions'").select("project", "id", "pattern")
 
 
 _BRICKS = """SELECT b.id, b.shape, least(min(s.line), any_value(b.line)) AS first_line, greatest(max(s.line + greatest(s.line, 1) - 1), any_value(b.line + greatest(b.line, 1) - 1)) AS last_line
@@ -495,17 +522,17 @@ FROM (SELECT id, kind AS shape, file, line FROM sym WHERE NOT is_test AND kind I
 
 @query("owner", sql_body=_BRICKS)
 def brick_lines(t: Trade) -> DataFrame:
-    return _wiring(t).bricks.where("shape != 'functions'").select("project", "id", "shape", "first_line", "last_line")
+    return t.wiring.bricks.where("shape != 'functions'").select("project", "id", "shape", "first_line", "last_line")
 
 
 @query("bound", sql_body="SELECT trait_id, n::INTEGER AS n, bound_to FROM bound")
 def bindings_unique_impl(t: Trade) -> DataFrame:
-    return _wiring(t).implementors.select("project", "trait_id", F.size("types").alias("n"), "bound_to")
+    return t.wiring.implementors.select("project", "trait_id", F.size("types").alias("n"), "bound_to")
 
 
 @query("calls", "bound", sql_body='SELECT c.brick, c.from_method, c."to", c.to_method, c.line, b.bound_to FROM calls c LEFT JOIN bound b ON b.trait_id = c."to"')
 def path_calls(t: Trade) -> DataFrame:
-    return _wiring(t).calls.select("project", "brick", "from_method", "to", "to_method", "line", "bound_to")
+    return t.wiring.calls.select("project", "brick", "from_method", "to", "to_method", "line", "bound_to")
 
 
 _GRIP = """SELECT o.brick, o.id, CASE WHEN NOT (b.shape IS NOT DISTINCT FROM 'trait' OR o.is_public) THEN NULL WHEN EXISTS (SELECT 1 FROM calls c WHERE c."to" = o.brick AND c.to_method = o.name) THEN 'brick' ELSE 'unseen' END AS grip
@@ -514,7 +541,7 @@ FROM owner o LEFT JOIN bricks b ON b.id = o.brick"""
 
 @query("calls", sql_body=_GRIP)
 def stud_grip(t: Trade) -> DataFrame:
-    return _wiring(t).studs.select("project", "brick", "id", "grip")
+    return t.wiring.studs.select("project", "brick", "id", "grip")
 
 
 _SOCKETS = """SELECT e.from_id AS brick, CASE WHEN b.shape = 'trait' THEN 'port' ELSE 'resolved' END AS status, e.to_id AS "to", string_agg(DISTINCT via, ', ' ORDER BY via) AS prop
@@ -525,23 +552,24 @@ FROM edges e JOIN bricks o ON o.id = e.from_id AND o.shape = 'struct' JOIN brick
 def socket_merge(t: Trade) -> DataFrame:
     fields = F.when(F.col("kind") == "struct", F.transform(F.array(F.lit("F"), F.lit("O")), lambda x: F.struct(x.alias("name"), x.alias("ty"), F.array(x).alias("ty_paths")))).otherwise(F.col("fields"))
     model = t.model._replace(symbols=t.symbols.withColumn("fields", F.when(F.col("kind").isin("struct"), fields).otherwise(F.array().cast(t.symbols.schema["fields"].dataType))))
-    return wiring.Wiring(model, _classified(t), CONFIG).sockets.where("via = 'field' and status in ('port', 'resolved')").select("project", "brick", "status", "to", "prop")
+    return wiring.Wiring(model, t.classified, CONFIG).sockets.where("via = 'field' and status in ('port', 'resolved')").select("project", "brick", "status", "to", "prop")
 
 
 _RECV = """SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN method % 3 = 0 THEN 'unread' WHEN h = 0 THEN 'library' WHEN h = 1 THEN 'followed' ELSE 'ambiguous' END AS outcome
-FROM (SELECT l_orderkey, l_linenumber, o.n AS method, (SELECT count(*) FROM owner m WHERE m.kind = 'method' AND m.brick = t.id AND m.n = l_suppkey + 1) AS h FROM lineitem JOIN owner o ON o.n = l_partkey JOIN sym t ON t.n = l_suppkey WHERE l_quantity >= 49)) GROUP BY outcome"""
+FROM (SELECT o.n AS method, coalesce(m.h, 0) AS h FROM items i JOIN owner o ON o.n = l_partkey JOIN sym t ON t.n = i.t
+LEFT JOIN (SELECT brick, n, count(*) AS h FROM owner WHERE kind = 'method' GROUP BY brick, n) m ON m.brick = t.id AND m.n = i.t + 1)) GROUP BY outcome"""
 
 
-@query("owner", sql_body=_RECV)
+@query("owner", "items", sql_body=_RECV)
 def recv_call_outcomes(t: Trade) -> DataFrame:
     ids = t.parts.select("n", "id", "name")
-    items = t.table("lineitem").where("l_quantity >= 49").select("l_partkey", "l_suppkey", (F.col("l_suppkey") + 1).alias("next"))
-    items = items.join(ids.select(F.col("n").alias("l_suppkey"), F.col("id").alias("target")), "l_suppkey").join(ids.select(F.col("n").alias("next"), F.col("name").alias("called")), "next", "left")
+    items = t.table("lineitem").select("l_partkey", t._to().alias("at")).withColumn("next", F.col("at") + 1)
+    items = items.join(ids.select(F.col("n").alias("at"), F.col("id").alias("target")), "at").join(ids.select(F.col("n").alias("next"), F.col("name").alias("called")), "next", "left")
     declared = F.col("l_partkey") % 3 != 0
     call = F.struct(F.lit("x").alias("recv"), F.coalesce("called", F.lit("?")).alias("method"), F.lit(1).alias("line"), F.when(declared, F.col("target")).alias("ty"), F.lit(None).cast("string").alias("callee"))
     made = items.join(ids.select(F.col("n").alias("l_partkey"), F.col("id")), "l_partkey").groupBy("id").agg(F.collect_list(call).alias("made"))
     symbols = t.symbols.join(made, "id", "left").withColumn("recv_calls", F.coalesce("made", "recv_calls")).drop("made")
-    calls = wiring.Wiring(t.model._replace(symbols=symbols), _classified(t), CONFIG).receiver_calls
+    calls = wiring.Wiring(t.model._replace(symbols=symbols), t.classified, CONFIG).receiver_calls
     return calls.groupBy("project", "outcome").agg(F.count("*").alias("n"))
 
 
@@ -553,12 +581,12 @@ _OWN_TIER = _TIER.format("own_layer")
 
 @query("placed", "modules", sql_body=f"SELECT m.id AS module, count(p.id) AS n, coalesce(string_agg(DISTINCT p.pattern, ',' ORDER BY p.pattern), '') AS patterns, coalesce(min({_OWN_TIER}), 5)::INTEGER AS tier FROM modules m LEFT JOIN placed p ON p.module = m.id AND p.parent IS NULL AND NOT p.is_test AND p.pattern IS NOT NULL GROUP BY m.id")
 def atlas_nodes(t: Trade) -> DataFrame:
-    return views.atlas_nodes(t.model, _classified(t), CONFIG).withColumn("patterns", F.array_join("patterns", ","))
+    return views.atlas_nodes(t.model, t.classified, CONFIG).withColumn("patterns", F.array_join("patterns", ","))
 
 
 @query("ports", "edges", "impls", sql_body="SELECT id AS port, (SELECT count(DISTINCT from_id) FROM edges WHERE kind = 'bound' AND to_id = p.id) AS consumers, (SELECT count(*) FROM impls WHERE trait_id = p.id AND NOT is_test) AS impls, (SELECT count(*) FROM impls WHERE trait_id = p.id AND is_test) AS fakes FROM ports p")
 def atlas_ports(t: Trade) -> DataFrame:
-    return views.atlas_ports(t.model, _classified(t))
+    return views.atlas_ports(t.model, t.classified)
 
 
 _FLOORS = f"""SELECT module, ({_OWN_TIER})::INTEGER AS tier, 'functions' AS floor, count(*) AS n FROM placed WHERE kind = 'fn' AND parent IS NULL AND NOT is_test GROUP BY 1, 2
@@ -567,13 +595,13 @@ UNION ALL SELECT module, ({_OWN_TIER})::INTEGER, name, greatest((SELECT count(*)
 
 @query("placed", sql_body=_FLOORS)
 def tower_floors(t: Trade) -> DataFrame:
-    return views.city_floors(t.model, _classified(t), CONFIG)
+    return views.city_floors(t.model, t.classified, CONFIG)
 
 
 @query("placed", sql_body=f"SELECT module, sum(n)::BIGINT AS height, string_agg(DISTINCT tier, ',' ORDER BY tier) AS present, array_to_string(list_filter([0, 1, 2, 3, 4, 5], lambda x: NOT list_contains(list(tier), x)), ',') AS absent FROM ({_FLOORS}) GROUP BY module")
 def towers(t: Trade) -> DataFrame:
     join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
-    out = views.city_towers(views.city_floors(t.model, _classified(t), CONFIG), CONFIG)
+    out = views.city_towers(views.city_floors(t.model, t.classified, CONFIG), CONFIG)
     return out.withColumns({"present": join("present"), "absent": join("absent")})
 
 
@@ -583,28 +611,28 @@ FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY ord) - 1 AS k FR
 
 @query("placed", sql_body=_PLANES)
 def layer_planes(t: Trade) -> DataFrame:
-    return views.layer_nodes(t.model, _classified(t), CONFIG)
+    return views.layer_nodes(t.model, t.classified, CONFIG)
 
 
 @query("edges", "placed", sql_body=f"SELECT DISTINCT from_id AS a, to_id AS b, e.kind, ({_TIER.format('t.own_layer')}) < ({_TIER.format('f.own_layer')}) AS up FROM edges e JOIN placed f ON f.id = from_id JOIN placed t ON t.id = to_id WHERE to_scope = 'local' AND NOT f.is_test AND NOT t.is_test")
 def layer_links(t: Trade) -> DataFrame:
-    return views.layer_links(t.model, _classified(t), CONFIG).drop("rule")
+    return views.layer_links(t.model, t.classified, CONFIG).drop("rule")
 
 
 @query("placed", sql_body="SELECT id, CASE WHEN contains(file, 'tui') THEN 'tui' ELSE 'cli' END AS verb FROM placed WHERE kind = 'fn' AND NOT is_test AND pattern = 'command-handler'")
 def traffic_entries(t: Trade) -> DataFrame:
-    return views.entries(t.model, _classified(t)).select("project", "id", "verb")
+    return views.entries(t.model, t.classified).select("project", "id", "verb")
 
 
 _HOPS = """
 , walk AS (SELECT id AS start, id AS node, 0 AS depth FROM placed WHERE kind = 'fn' AND NOT is_test AND pattern = 'command-handler'
-  UNION SELECT w.start, e.to_id, w.depth + 1 FROM walk w JOIN edges e ON e.from_id = w.node AND to_scope = 'local' AND kind IN ('call', 'bound') JOIN labels s ON s.id = e.to_id WHERE depth < 3 AND (depth = 0 OR w.node NOT IN (SELECT id FROM labels WHERE pattern = 'port')))
+  UNION SELECT w.start, e.to_id, w.depth + 1 FROM walk w JOIN edges e ON e.from_id = w.node AND to_scope = 'local' AND kind IN ('call', 'bound') JOIN labels s ON s.id = e.to_id WHERE depth < 6 AND (depth = 0 OR w.node NOT IN (SELECT id FROM labels WHERE pattern = 'port')))
 SELECT start, node, min(walk.depth)::INTEGER AS depth, any_value(l.pattern) = 'port' AS is_port, any_value(l.pattern) AS pattern FROM walk JOIN labels l ON l.id = node WHERE walk.depth > 0 GROUP BY start, node"""
 
 
 @query("placed", "edges", sql_body=_HOPS)
 def traffic_hops(t: Trade) -> DataFrame:
-    return views.traffic(t.model, _classified(t), 3).select("project", "start", "node", "depth", "is_port", "pattern")
+    return views.traffic(t.model, t.classified).select("project", "start", "node", "depth", "is_port", "pattern")
 
 
 @query("owners", sql_body="SELECT type, grp, n_rows, n_cols, coalesce(sum(n_rows) OVER w, 0)::BIGINT AS row_at, coalesce(sum(n_cols) OVER w, 0)::BIGINT AS col_at FROM (SELECT type, grp, count(*) AS n_rows FROM groups GROUP BY 1, 2) JOIN (SELECT type, grp, count(*) AS n_cols FROM owners GROUP BY 1, 2) USING (type, grp) WINDOW w AS (PARTITION BY type ORDER BY grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
@@ -618,7 +646,7 @@ def matrix_offsets(t: Trade) -> DataFrame:
 @query("churn", "placed", sql_body=f"SELECT c.path, c.score, coalesce(p.tier, 5)::INTEGER AS tier, p.pattern FROM (SELECT file AS path, sum(line)::BIGINT AS score FROM sym GROUP BY file) c LEFT JOIN (SELECT file AS path, min({_OWN_TIER}) AS tier, arg_min(pattern, ord) FILTER (pattern IS NOT NULL) AS pattern FROM placed WHERE parent IS NULL AND NOT is_test GROUP BY file) p USING (path)")
 def hotspot_nodes(t: Trade) -> DataFrame:
     files = t.symbols.groupBy("project", F.col("file").alias("path")).agg(F.sum("line").cast("bigint").alias("score"))
-    return views.hotspot_nodes(t.model, _classified(t), CONFIG, files)
+    return views.hotspot_nodes(t.model, t.classified, CONFIG, files)
 
 
 @query("edges", sql_body=f"SELECT module, side, other, w, rank FROM (SELECT *, row_number() OVER (PARTITION BY module, side ORDER BY w DESC, other)::INTEGER AS rank FROM (WITH x AS (SELECT f.module AS a, t.module AS b, count(*) AS w FROM edges JOIN sym f ON f.id = from_id JOIN sym t ON t.id = to_id WHERE to_scope = 'local' AND f.module <> t.module GROUP BY 1, 2) SELECT a AS module, 'out' AS side, b AS other, w FROM x UNION ALL SELECT b, 'in', a, w FROM x))")
@@ -628,54 +656,54 @@ def atlas_neighbours(t: Trade) -> DataFrame:
     return views.neighbours(met.where("a != b").groupBy("project", "a", "b").agg(F.count("*").alias("w")))
 
 
-@query(*dict.fromkeys([*_NEEDED, "placed", "own"]), sql_body=f"SELECT (SELECT count(*) FROM own) || ' of ' || (SELECT count(*) FROM sym WHERE parent IS NULL) || ' symbols classified; ' || (SELECT count(*) FROM sym WHERE kind = 'trait' AND starts_with(file, 'domain/ports/')) || ' ports' || CASE v WHEN 0 THEN '' WHEN 1 THEN '; 1 rule violated' ELSE '; ' || v || ' rules violated' END || CASE u WHEN 0 THEN '' WHEN 1 THEN '; 1 rule could not be evaluated' ELSE '; ' || u || ' rules could not be evaluated' END || '.' AS sentence FROM (SELECT count(*) FILTER (status = 'violated') AS v, count(*) FILTER (status = 'unevaluable') AS u FROM ({_FINDINGS}))")
+@query(*dict.fromkeys([*_NEEDED, "placed", "own"]), sql_body=f"SELECT (SELECT count(*) FROM own) || ' of ' || (SELECT count(*) FROM sym WHERE parent IS NULL) || ' symbols classified' || (SELECT CASE count(*) WHEN 0 THEN '' WHEN 1 THEN '; 1 port' ELSE '; ' || count(*) || ' ports' END FROM sym WHERE kind = 'trait' AND starts_with(file, 'domain/ports/')) || CASE v WHEN 0 THEN '' WHEN 1 THEN '; 1 rule violated' ELSE '; ' || v || ' rules violated' END || CASE u WHEN 0 THEN '' WHEN 1 THEN '; 1 rule could not be evaluated' ELSE '; ' || u || ' rules could not be evaluated' END || '.' AS sentence FROM (SELECT count(*) FILTER (status = 'violated') AS v, count(*) FILTER (status = 'unevaluable') AS u FROM ({_FINDINGS}))")
 def narration(t: Trade) -> DataFrame:
-    return views.narration(_rules(t).findings(), classify.coverage(t.symbols, _classified(t)))
+    return views.narration(t.findings, classify.coverage(t.symbols, t.classified))
 
 
 # ---------------------------------------------------------------- co-change and risk
 
 _PAIRS = """
-, f AS (SELECT DISTINCT hash, path FROM commits), ok AS (SELECT * FROM f WHERE hash IN (SELECT hash FROM f GROUP BY hash HAVING count(*) <= 5)), n AS (SELECT path, count(*) AS n FROM ok GROUP BY path HAVING count(*) >= 5),
+, f AS (SELECT DISTINCT hash, path FROM changes), ok AS (SELECT * FROM f WHERE hash IN (SELECT hash FROM f GROUP BY hash HAVING count(*) <= 25)), n AS (SELECT path, count(*) AS n FROM ok GROUP BY path HAVING count(*) >= 5),
 p AS (SELECT x.path AS a, y.path AS b, count(*) AS together FROM ok x JOIN ok y ON x.hash = y.hash AND x.path < y.path GROUP BY 1, 2),
-pairs AS (SELECT a, b, together, together::DOUBLE / (na.n + nb.n - together) AS degree, together::DOUBLE / na.n AS a_to_b, together::DOUBLE / nb.n AS b_to_a FROM p JOIN n na ON na.path = a JOIN n nb ON nb.path = b WHERE together::DOUBLE / (na.n + nb.n - together) >= 0.06)
+pairs AS (SELECT a, b, together, together::DOUBLE / (na.n + nb.n - together) AS degree, together::DOUBLE / na.n AS a_to_b, together::DOUBLE / nb.n AS b_to_a FROM p JOIN n na ON na.path = a JOIN n nb ON nb.path = b WHERE together::DOUBLE / (na.n + nb.n - together) >= 0.3)
 """
 
 
-def _pairs(t: Trade) -> DataFrame:
-    return cochange.pairs(t.commit_files, max_files=5, min_changes=5, min_degree=0.06)
-
-
-@query("commits", sql_body=_PAIRS + "SELECT * FROM pairs")
+@query("changes", sql_body=_PAIRS + "SELECT * FROM pairs")
 def cochange_pairs(t: Trade) -> DataFrame:
-    return _pairs(t)
+    return cochange.pairs(t.changes)
 
 
-@query("commits", sql_body="SELECT count(*) AS commits, count(*) FILTER (n > 5) AS excluded FROM (SELECT hash, count(DISTINCT path) AS n FROM commits GROUP BY hash)")
+@query("changes", sql_body="SELECT count(*) AS commits, count(*) FILTER (n > 5) AS excluded FROM (SELECT hash, count(DISTINCT path) AS n FROM changes GROUP BY hash)")
 def cochange_excluded(t: Trade) -> DataFrame:
-    return cochange.excluded_commits(t.commit_files, 5)
+    return cochange.excluded_commits(t.changes, 5)
 
 
-@query("commits", "brand_links", sql_body=_PAIRS + "SELECT a, b, together FROM pairs WHERE NOT EXISTS (SELECT 1 FROM brand_links l WHERE (l.a = pairs.a AND l.b = pairs.b) OR (l.a = pairs.b AND l.b = pairs.a))")
+@query("changes", "change_links", sql_body=_PAIRS + "SELECT a, b, together FROM pairs WHERE NOT EXISTS (SELECT 1 FROM change_links l WHERE (l.a = pairs.a AND l.b = pairs.b) OR (l.a = pairs.b AND l.b = pairs.a))")
 def unexplained_coupling(t: Trade) -> DataFrame:
-    return cochange.unexplained(_pairs(t), t.brand_links).select("project", "a", "b", "together")
+    return cochange.unexplained(cochange.pairs(t.changes), t.change_links).select("project", "a", "b", "together")
 
 
-@query("commits", sql_body=_PAIRS + "SELECT least(x, y) AS ma, greatest(x, y) AS mb, count(*) AS pairs, sum(together)::BIGINT AS together FROM (SELECT right(a, 1) AS x, right(b, 1) AS y, together FROM pairs) GROUP BY 1, 2")
+_MATRIX = "SELECT least(x, y) AS ma, greatest(x, y) AS mb, count(*) AS pairs, sum(together)::BIGINT AS together FROM (SELECT right(a, 1) AS x, right(b, 1) AS y, together FROM pairs) GROUP BY 1, 2"
+
+
+@query("changes", sql_body=_PAIRS + _MATRIX)
 def design_matrix(t: Trade) -> DataFrame:
-    places = t.table("part").select(F.lit(PROJECT).alias("project"), F.col("p_brand").alias("path"), F.expr("right(p_brand, 1)").alias("module")).distinct()
-    return cochange.design_matrix(_pairs(t), places)
+    return cochange.design_matrix(cochange.pairs(t.changes), t.changes.select("project", "path", F.expr("right(path, 1)").alias("module")).distinct())
 
 
-_RISK = _PAIRS + """, ch AS (SELECT unnest(['Brand#1', 'Brand#2', 'Brand#7']) AS path), pr AS (SELECT a AS path, b AS other FROM pairs UNION ALL SELECT b, a FROM pairs)
-SELECT ch.path, r.rank, coalesce((SELECT string_agg(DISTINCT other, ',' ORDER BY other) FROM pr WHERE pr.path = ch.path AND other NOT IN (SELECT path FROM ch)), '') AS missing, ch.path = 'Brand#2' AS tested
-FROM ch LEFT JOIN (SELECT path, row_number() OVER (ORDER BY score DESC, path)::INTEGER AS rank FROM churn) r USING (path)"""
+_RISK = _PAIRS + """, ch AS (SELECT unnest(['m0/f1', 'm1/f2', 'm3/f4']) AS path), pr AS (SELECT a AS path, b AS other FROM pairs UNION ALL SELECT b, a FROM pairs),
+r AS (SELECT path, row_number() OVER (ORDER BY count(*) DESC, path)::INTEGER AS rank FROM changes GROUP BY path)
+SELECT ch.path, r.rank, coalesce((SELECT string_agg(DISTINCT other, ',' ORDER BY other) FROM pr WHERE pr.path = ch.path AND other NOT IN (SELECT path FROM ch)), '') AS missing, ch.path = 'm1/f2' AS tested
+FROM ch LEFT JOIN r ON r.path = ch.path AND r.rank <= 40"""
 
 
-@query("churn", sql_body=_RISK)
+@query("changes", sql_body=_RISK)
 def risk_crossings(t: Trade) -> DataFrame:
-    files = lambda *ps: t.brand_modules.where(F.col("id").isin(*ps)).select("project", F.col("id").alias("path"))
-    out = impact.risk_crossings(files("Brand#1", "Brand#2", "Brand#7"), churn.ranked(t.churn), _pairs(t), files("Brand#2"))
+    files = lambda *ps: t.spark.range(1).select(F.lit(PROJECT).alias("project"), F.explode(F.array(*map(F.lit, ps))).alias("path"))
+    ranks = churn.ranked(churn.per_file(t.changes), "commits")
+    out = impact.risk_crossings(files("m0/f1", "m1/f2", "m3/f4"), ranks, cochange.pairs(t.changes), files("m1/f2"))
     return out.withColumn("missing", F.array_join("missing", ","))
 
 
@@ -726,21 +754,27 @@ def longest_chains(t: Trade) -> DataFrame:
     return t.table("benchmark").select("item_id", F.array_join(kept, ",").alias("chains"))
 
 
-_LOG = "SELECT o_orderkey::VARCHAR AS hash, o_custkey::VARCHAR AS author, strftime(o_orderdate, '%Y-%m-%d') AS date, p_brand AS path, l_quantity::BIGINT AS added, CASE WHEN l_linenumber = 1 THEN 0 ELSE l_linenumber END::BIGINT AS removed FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderkey < 500"
+_LOG = """SELECT o_orderkey::VARCHAR AS hash, o_custkey::VARCHAR AS author, strftime(o_orderdate, '%Y-%m-%d') AS date, p_brand AS path, l_quantity::BIGINT AS added,
+CASE WHEN l_linenumber = 1 THEN 0 ELSE l_linenumber END::BIGINT AS removed FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey"""
 
 
 @query(raw=True, sql_body=_LOG)
-def git_log_forward_fill(t: Trade) -> DataFrame:
-    """The log text of a history, read back by forward fill."""
-    from ..sources import gitlog
-
-    c = t.table("lineitem").join(t.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t.table("part"), F.col("l_partkey") == F.col("p_partkey")).where("o_orderkey < 500")
-    header = F.concat_ws("\x01", F.lit(""), F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd"))
+def git_log_records(t: Trade) -> DataFrame:
+    """The log of each customer's orders as a text, cut into commits and read back."""
+    c = t.table("lineitem").join(t.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+    header = F.concat_ws(gitlog.FIELD, F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd"))
     line = F.concat_ws("\t", F.col("l_quantity").cast("bigint").cast("string"), F.when(F.col("l_linenumber") == 1, "-").otherwise(F.col("l_linenumber").cast("string")), F.col("p_brand"))
-    text = c.groupBy("o_orderkey").agg(F.first(header).alias("h"), F.collect_list(line).alias("rows")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "h", "rows"))), lambda x: F.concat(x["h"], F.lit("\n\n"), F.array_join(x["rows"], "\n"))), "\n").alias("text"))
-    return gitlog.parse(text.select(F.lit(PROJECT).alias("project"), "text")).drop("ord")
+    commit = c.groupBy("o_custkey", "o_orderkey").agg(F.concat(F.lit(gitlog.RECORD), F.first(header), F.lit("\n\n"), F.array_join(F.collect_list(line), "\n"), F.lit("\n")).alias("commit"))
+    texts = commit.groupBy(F.col("o_custkey").cast("string").alias("project")).agg(F.array_join(F.collect_list("commit"), "").alias("text"))
+    return gitlog.parse(gitlog.records(texts)).drop("ord")
 
 
-@query()
+_JSON = """SELECT id, to_json({'id': id, 'kind': kind, 'module': module, 'parent': parent, 'line': line, 'is_test': is_test,
+'derives': CASE s % 3 WHEN 0 THEN ['Clone', 'Debug'] WHEN 1 THEN ['Debug'] ELSE [] END})::VARCHAR AS json FROM sym"""
+
+
+@query("sym", sql_body=_JSON)
 def json_export(t: Trade) -> DataFrame:
-    return t.symbols.select(F.to_json(F.struct("*")).alias("json"))
+    """Rows as the JSON sink writes them."""
+    row = F.struct("id", "kind", "module", "parent", "line", "is_test", "derives")
+    return t.symbols.select("project", "id", F.to_json(row, {"ignoreNullFields": "false"}).alias("json"))

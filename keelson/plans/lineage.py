@@ -5,10 +5,18 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+_after: list[Callable[[], object]] = []
+
+
+def at_release(forget: Callable[[], object]) -> None:
+    """What is to be done once the tables are gone: whoever holds some forgets them."""
+    _after.append(forget)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,8 +45,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def put(spark: SparkSession, file: Path) -> str:
+    """A local file's copy in the folder that all executors share; release() deletes it."""
+    path = f"{shared_folder(spark)}/keelson-{uuid.uuid4().hex}"
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    target = hadoop.Path(path)
+    target.getFileSystem(conf).copyFromLocalFile(hadoop.Path(f"file://{file}"), target)
+    if not _written:
+        atexit.register(release)
+    _written.append(path)
+    return path
+
+
 def release(spark: SparkSession | None = None) -> None:
     """Deletes what cut() has written in this process."""
+    while _after:
+        _after.pop()()
     spark = spark or SparkSession.getActiveSession()
     if spark is None or spark.sparkContext._jsc is None:
         return

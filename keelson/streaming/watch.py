@@ -18,7 +18,8 @@ WATCHED = r"(\.rs|(^|/)Cargo\.toml|(^|/)architecture\.toml)$"
 def listing_fingerprint(files: DataFrame) -> DataFrame:
     """project, fingerprint of a listing (project, path, length, modified) of what is watched."""
     kept = files.where(F.col("path").rlike(WATCHED) & ~F.col("path").rlike(SKIPPED))
-    return kept.groupBy("project").agg(F.xxhash64(F.to_json(F.sort_array(F.collect_list(F.struct("path", "length", "modified"))))).alias("fingerprint"))
+    own = F.xxhash64("path", "length", F.col("modified").cast("string"))  # of each file; their order is of no matter
+    return kept.groupBy("project").agg(F.xxhash64(F.bit_xor(own), F.sum(F.shiftrightunsigned(own, 24)), F.count("*")).alias("fingerprint"))
 
 
 def quiet_batches(changes: DataFrame, quiet_seconds: float) -> DataFrame:
@@ -69,22 +70,30 @@ class LastGood:
 
     Each batch appends (seq, version, error) to the table `log`; a success writes its result to
     `out`/version=n before the log says so, so readers of the log never meet a half-written one.
+    A batch that the log holds is passed over, so that batches played again count once.
     """
 
     def __init__(self, spark: SparkSession, build: Callable[[DataFrame], DataFrame], out: str, log: str):
         self.spark, self.build, self.out, self.log = spark, build, out, log
 
-    def state(self) -> tuple[int, int]:
-        """(seq, version) of the last batch."""
+    def _log(self) -> DataFrame | None:
         try:
-            row = self.spark.read.schema("batch bigint, seq bigint, version bigint, error string").parquet(self.log).agg(F.max("seq"), F.max("version")).first()
+            return self.spark.read.schema("batch bigint, seq bigint, version bigint, error string").parquet(self.log)
         except Exception as missing:
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
-            return 0, 0
+            return None
+
+    def state(self) -> tuple[int, int]:
+        """(seq, version) of the last batch."""
+        log = self._log()
+        row = log.agg(F.max("seq"), F.max("version")).first() if log is not None else (0, 0)
         return row[0] or 0, row[1] or 0
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        log = self._log()
+        if log is not None and not log.where(F.col("batch") == batch_id).isEmpty():
+            return  # played again after a restart: it has been counted
         seq, version = self.state()
         error = None
         try:

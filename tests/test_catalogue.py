@@ -12,8 +12,6 @@ import __spark_entry__
 from keelson.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-#: Unions of all rules: run once, by test_findings.
-HEAVY = {"findings_report", "finding_counts", "finding_totals", "enforcement_partition", "current_violations", "excluded_violations", "rule_instances", "narration"}
 
 
 @pytest.fixture(scope="module")
@@ -41,15 +39,11 @@ def same(spark, duck, name):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("name", [n for n in catalogue.ORACLES if n not in HEAVY and not n.startswith("rule_")])
+@pytest.mark.parametrize("name", list(catalogue.ORACLES))
 def test_twin(spark, duck, name):
     same(spark, duck, name)
 
 
-def test_findings(spark, duck):
-    same(spark, duck, "findings_report")
-
-
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import time
 from collections import Counter
 
@@ -113,6 +114,8 @@ def test_last_good_sink(spark, tmp_path):
     for k, v in enumerate([1, -1, 2]):
         sink(spark.createDataFrame([(v,)], "v long"), k)
     assert sink.state() == (3, 2) and sink.current().first().v == 2
+    sink(spark.createDataFrame([(9,)], "v long"), 2)  # played again
+    assert sink.state() == (3, 2) and sink.current().first().v == 2
     log = spark.read.parquet(str(tmp_path / "log")).orderBy("seq").collect()
     assert [(r.version, r.error) for r in log] == [(1, None), (1, "broken"), (2, None)]
 
@@ -133,3 +136,63 @@ def test_dependents_of_any_depth(spark, monkeypatch):
     links = spark.createDataFrame([("p", f"n{k + 1}", f"n{k}") for k in range(7)], "project string, a string, b string")
     changed = spark.createDataFrame([("p", "n0")], "project string, id string")
     assert sorted(tuple(r) for r in graph.dependents_of(changed, links).collect()) == [("p", f"n{k}", k) for k in range(1, 8)]
+
+
+def slow_greedy(n, weights):
+    """Greedy merging that looks at all pairs of communities each time."""
+    label, total = list(range(n)), sum(weights.values())
+    while total:
+        live = sorted(set(label))
+        degree, between = dict.fromkeys(live, 0.0), {}
+        for (a, b), w in weights.items():
+            x, y = sorted((label[a], label[b]))
+            degree[x] += w
+            degree[y] += w
+            if x != y:
+                between[x, y] = between.get((x, y), 0.0) + w
+        gains = sorted((-(w / total - degree[x] * degree[y] / (2 * total * total)), x, y) for (x, y), w in between.items())
+        if not gains or -gains[0][0] <= 1e-12:
+            break
+        _, x, y = gains[0]
+        label = [x if c == y else c for c in label]
+    return label
+
+
+def test_communities_by_brute_force():
+    draw = random.Random(3)
+    for _ in range(60):
+        n = draw.randint(1, 14)
+        weights = {(a, b): float(draw.randint(1, 3)) for a in range(n) for b in range(a + 1, n) if draw.random() < 0.35}
+        found = graph.greedy_communities(list(range(n)), weights)
+        assert [found[i] for i in range(n)] == slow_greedy(n, weights)
+
+
+def test_measures_by_brute_force(spark):
+    """Modularity and groups of types with shared fields and calls, from plain pair counts."""
+    draw = random.Random(5)
+    rows = []
+    for t in range(6):
+        n = draw.randint(2, 9)
+        names = [f"m{i}" for i in range(n)]
+        for m in range(n):
+            touch = sorted(draw.sample(["a", "b", "c", "d", "e", "f"], draw.randint(0, 3)))
+            calls = sorted({draw.choice(names) for _ in range(draw.randint(0, 2))} - {names[m]})
+            rows.append(("p", t, f"t{t}", ["a", "b", "c", "d", "e", "f"], m, names[m], touch, calls, touch))
+    df = spark.createDataFrame(rows, "project string, type_ord long, type string, fields array<string>, m int, method string, touch array<string>, calls array<string>, reads array<string>")
+    for r in cohesion.measures(df).collect():
+        own = [x for x in rows if x[2] == r.type]
+        weights = {}
+        for a in own:
+            for b in own:
+                w = len(set(a[6]) & set(b[6])) + (b[5] in a[7] or a[5] in b[7])
+                if a[4] < b[4] and w:
+                    weights[a[4], b[4]] = float(w)
+        label = slow_greedy(len(own), weights)
+        assert [sorted(g) for g in r.groups] == [[i for i, c in enumerate(label) if c == g] for g in sorted(set(label))]
+        total = sum(weights.values())
+        q = 0.0
+        for c in set(label) if total else ():
+            inside = sum(w for (a, b), w in weights.items() if label[a] == label[b] == c)
+            degree = sum(w * ((label[a] == c) + (label[b] == c)) for (a, b), w in weights.items())
+            q += inside / total - (degree / (2 * total)) ** 2
+        assert r.modularity == pytest.approx(q)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import subprocess
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,11 +118,22 @@ def test_manifest_and_config():
     assert c.patterns[0].id == "first" and c.patterns[1].id == "port" and c.flow == PROFILE.flow
 
 
-def test_git_log(spark):
-    text = "\x01h2\x01ann\x012024-01-02\n\n3\t1\tsub/a.rs\n-\t-\tsub/b.png\n\x01h1\x01bob\x012024-01-01\n\n5\t0\tsub/a.rs\n1\t1\tother.rs\n"
-    found = gitlog.parse(spark.createDataFrame([("p", text)], "project string, text string"), "sub/").orderBy("ord").collect()
-    assert [(r.hash, r.author, r.path, r.added, r.removed) for r in found] == [("h2", "ann", "a.rs", 3, 1), ("h2", "ann", "b.png", 0, 0), ("h1", "bob", "a.rs", 5, 0)]
+def test_git_log(spark, tmp_path):
+    text = "\x02h2\x01ann\x012024-01-02\n\n3\t1\tsub/a.rs\n-\t-\tsub/b.png\n\x02h1\x01bob\x012024-01-01\n\n5\t0\tsub/a.rs\n1\t1\tother.rs\n"
+    (tmp_path / "log").write_text(text)
+    for commits in (gitlog.records(spark.createDataFrame([("p", text)], "project string, text string")), gitlog.read_records(spark, str(tmp_path / "log"), "p")):
+        found = gitlog.parse(commits, "sub/").orderBy("ord").collect()
+        assert [(r.hash, r.author, r.path, r.added, r.removed) for r in found] == [("h2", "ann", "a.rs", 3, 1), ("h2", "ann", "b.png", 0, 0), ("h1", "bob", "a.rs", 5, 0)]
     assert gitlog.read(spark, "/proc", "p")[1].startswith("git")
+    own = tmp_path / "repo"
+    own.mkdir()
+    run = lambda *a: subprocess.run(["git", "-C", str(own), "-c", "user.name=a b", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    run("init", "-q")
+    for k in range(2):
+        (own / "x.rs").write_text("line\n" * (k + 1))
+        run("add", "."), run("commit", "-qm", f"c{k}")
+    history, reason = gitlog.read(spark, str(own), "p")
+    assert not reason and sorted((r.path, r.author, r.added) for r in history.collect()) == [("x.rs", "a b", 1), ("x.rs", "a b", 1)]
 
 
 def test_folder_on_disk(spark, tmp_path):
