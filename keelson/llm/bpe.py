@@ -160,9 +160,10 @@ class ByteBPE:
                 flat[start + at] = np.minimum(flat[start + 2 * at], flat[start + 2 * at + 1])
             live = live[tree[live, 1] != never]
         kept = ids >= 0
-        alone = (places < lengths[:, None]) & (self.byte_ranks[raw] < 0)
-        if alone.any():
-            raise KeyError(f"no rank for byte {int(raw[alone][0])}")
+        if self.byte_ranks.min() < 0:
+            alone = (places < lengths[:, None]) & (self.byte_ranks[raw] < 0)
+            if alone.any():
+                raise KeyError(f"no rank for byte {int(raw[alone][0])}")
         data, ends = ids[kept].astype(np.int32).tobytes(), (np.cumsum(kept.sum(axis=1)) * 4).tolist()
         return [data[x:y] for x, y in zip([0, *ends], ends, strict=False)]
 
