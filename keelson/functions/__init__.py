@@ -126,3 +126,9 @@ def number_or_zero(text: Column) -> Column:
 def names_self(ret: Column) -> Column:
     """Whether a return type has Self as a word."""
     return F.coalesce(ret.rlike(r"(^|[^\w])Self([^\w]|$)"), F.lit(False))
+
+
+def percent_decoded(text: Column) -> Column:
+    """%xx and + of a query string; what is no two hex digits stays as it is."""
+    kept = F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.url_decode(kept)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .churn import MIN_COMMITS
+
 MAX_FILES, MIN_CHANGES, MIN_DEGREE = 25, 5, 0.3
 
 
@@ -41,10 +43,36 @@ def pairs(commit_files: DataFrame, max_files: int = MAX_FILES, min_changes: int
     return out.where(F.col("degree") >= min_degree)
 
 
-def unexplained(coupled: DataFrame, links: DataFrame) -> DataFrame:
-    """Coupled pairs without a link in either direction; links are (project, a, b) of files."""
+def unexplained(coupled: DataFrame, links: DataFrame, modules_of: DataFrame | None = None) -> DataFrame:
+    """Coupled pairs without a link in either direction; links are (project, a, b) of files.
+
+    With modules_of (project, path, module) they are told whether they cross modules."""
     either = links.select("project", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return coupled.join(either, ["project", "a", "b"], "left_anti")
+    out = coupled.join(either, ["project", "a", "b"], "left_anti")
+    if modules_of is None:
+        return out
+    side = lambda end: modules_of.select("project", F.col("path").alias(end), F.col("module").alias(f"_{end}"))
+    out = out.join(side("a"), ["project", "a"], "left").join(side("b"), ["project", "b"], "left")
+    return out.withColumn("cross_module", ~F.col("_a").eqNullSafe(F.col("_b"))).drop("_a", "_b")
+
+
+def status(commit_files: DataFrame, links: DataFrame, max_files: int = MAX_FILES, min_changes: int = MIN_CHANGES, min_degree: float = MIN_DEGREE) -> DataFrame:
+    """project, status, because, n: whether coupling is explained by links, as far as the history tells.
+
+    `unevaluable` with fewer than MIN_COMMITS trusted commits or no file with min_changes of them,
+    `violated` if there are pairs without a link, else `pass`.
+    """
+    files = trusted_commits(commit_files, max_files)
+    known = commit_files.select("project").distinct()
+    commits = files.groupBy("project").agg(F.countDistinct("hash").alias("_commits"))
+    often = files.groupBy("project", "path").agg(F.count("*").alias("n")).where(F.col("n") >= min_changes).groupBy("project").agg(F.count("*").alias("_often"))
+    pair = unexplained(pairs(commit_files, max_files, min_changes, min_degree), links).groupBy("project").agg(F.count("*").alias("_pairs"))
+    out = known.join(commits, "project", "left").join(often, "project", "left").join(pair, "project", "left").na.fill(0)
+    because = F.when(F.col("_commits") < MIN_COMMITS, F.concat(F.col("_commits").cast("string"), F.lit(f" of {MIN_COMMITS} commits that coupling needs"))).when(
+        F.col("_often") == 0, F.lit(f"no file changes {min_changes} times")
+    )
+    state = F.when(because.isNotNull(), "unevaluable").when(F.col("_pairs") > 0, "violated").otherwise("pass")
+    return out.select("project", state.alias("status"), F.coalesce(because, F.lit("")).alias("because"), F.when(state == "violated", F.col("_pairs")).otherwise(0).cast("bigint").alias("n"))
 
 
 def design_matrix(coupled: DataFrame, modules_of: DataFrame) -> DataFrame:

@@ -340,7 +340,11 @@ class Evaluation:
         return out.select("project", *[why.get(r.id, F.lit(None)).cast("string").alias(r.id) for r in RULES])
 
     def findings(self) -> DataFrame:
-        """project, no, rule, tier, kind, gate, status, tone, because, n: one row for each rule."""
+        """project, no, rule, tier, kind, gate, status, tone, because, n: one row for each rule (written once)."""
+        return self._findings
+
+    @cached_property
+    def _findings(self) -> DataFrame:
         graph_b = self.config.crate_graph == "B"
         table = F.array(*[
             F.struct(
@@ -360,4 +364,4 @@ class Evaluation:
         out = out.select("project", "no", "rule", "tier", "kind", "gate", status.alias("status"), F.when(delegated, "left to the build, which keeps the crates apart").otherwise(F.coalesce("because", F.lit(""))).alias("because"), n.alias("n"))
         warns = (F.col("status") == "violated") & (F.col("gate") | (F.col("rule") == "port-has-fake"))
         tone = F.when(warns, "warn").when(F.col("status").isin("violated", "unevaluable"), "note").otherwise("good")
-        return out.withColumn("tone", tone)
+        return cut(out.withColumn("tone", tone))

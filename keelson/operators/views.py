@@ -11,8 +11,9 @@ from pyspark.sql import Window as W
 from ..config import Config
 from ..functions import leaf, plural
 from ..schema import Model
-from . import graph
+from . import churn, graph
 from .classify import Classified
+from .cohesion import field_owners
 
 
 
@@ -161,3 +162,117 @@ def neighbours(links: DataFrame) -> DataFrame:
     return out.unionByName(back).withColumn("rank", F.row_number().over(order))
 
 
+def atlas_shape(classified: Classified) -> DataFrame:
+    """project, pattern, n: own labels by pattern, and what has none as `unclassified`."""
+    own = classified.by_symbol.where("not inherited").groupBy("project", "pattern").agg(F.count("*").alias("n"))
+    return own.unionByName(classified.unmatched.groupBy("project").agg(F.lit("unclassified").alias("pattern"), F.count("*").alias("n")).select("project", "pattern", "n"))
+
+
+def atlas_sides(model: Model, classified: Classified) -> DataFrame:
+    """project, module, side: `platform` for modules that hold infrastructure, `domain` for all others."""
+    labels = classified.by_symbol.where("layer = 'infrastructure'").select("project", "id")
+    platform = model.symbols.join(labels, ["project", "id"], "left_semi").select("project", "module", F.lit("platform").alias("side")).distinct()
+    every = model.modules.select("project", F.col("id").alias("module")).distinct()
+    return every.join(platform, ["project", "module"], "left").withColumn("side", F.coalesce("side", F.lit("domain")))
+
+
+def city_entries(start: DataFrame, symbols: DataFrame) -> DataFrame:
+    """project, module, n: entries by the module they lie in; start is (project, id)."""
+    where = symbols.groupBy("project", "id").agg(F.min_by("module", "ord").alias("module"))
+    return start.join(where, ["project", "id"]).groupBy("project", "module").agg(F.count("*").alias("n"))
+
+
+def hotspot_links(links: DataFrame, modules: DataFrame) -> DataFrame:
+    """project, a, b: distinct links between files, from links (project, a, b) between modules."""
+    file = lambda c: modules.groupBy("project", F.col("id").alias(c)).agg(F.min_by("file", "ord").alias(f"f_{c}"))
+    met = links.join(file("a"), ["project", "a"]).join(file("b"), ["project", "b"])
+    return met.select("project", F.col("f_a").alias("a"), F.col("f_b").alias("b")).distinct()
+
+
+def hotspot_meta(commit_files: DataFrame) -> DataFrame:
+    """project, since, commits, files, available, enough, reason of a history."""
+    return churn.window(commit_files).join(churn.availability(commit_files), "project")
+
+
+def matrix_cells(links: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, method, field, row, col of each touch (keys, method, field): rows in order of the
+    methods' groups (keys, method, grp), columns in order of the groups that own the fields."""
+    rows = groups.withColumn("row", F.row_number().over(W.partitionBy(*keys).orderBy("grp", "method")) - 1).drop("grp")
+    owners = field_owners(links, groups, keys)
+    cols = owners.withColumn("col", F.row_number().over(W.partitionBy(*keys).orderBy("grp", "field")) - 1).drop("grp")
+    return links.select(*keys, "method", "field").distinct().join(rows, [*keys, "method"]).join(cols, [*keys, "field"])
+
+
+def idle_columns(links: DataFrame, groups: DataFrame, idle: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, field, col of the fields (keys, field) that no group owns: behind all others, by name."""
+    owned = field_owners(links, groups, keys)
+    n = owned.groupBy(*keys).agg(F.count("*").alias("_n"))
+    alone = idle.select(*keys, "field").distinct().join(owned.select(*keys, "field"), [*keys, "field"], "left_anti").join(n, keys, "left")
+    at = F.coalesce("_n", F.lit(0)) + F.row_number().over(W.partitionBy(*keys).orderBy("field")) - 1
+    return alone.withColumn("col", at).drop("_n")
+
+
+def traffic_filter(start: DataFrame, symbols: DataFrame, verbs: tuple[str, ...] = ("cli", "tui"), query: str = "") -> DataFrame:
+    """Entries (project, id, verb) of those verbs whose verb, name, owner or module holds the query."""
+    about = symbols.groupBy("project", "id").agg(F.min_by(F.struct("name", "parent", "module"), "ord").alias("_s"))
+    met = start.where(F.col("verb").isin(*verbs)).join(about, ["project", "id"])
+    held = F.concat_ws(" ", "verb", "_s.name", F.coalesce("_s.parent", "_s.module"), "_s.module")
+    return met.where(F.contains(F.lower(held), F.lit(query.strip().lower()))).drop("_s")
+
+
+def traffic_subsets(hops: DataFrame, config: Config) -> DataFrame:
+    """project, start, subset: traces that pass by the service lane (`no-service`), that meet what lies
+    behind the port at once (`direct`), and that cross the use-case lane (`crossing`).
+
+    Lanes are the stations of the configured flow; hops have pattern."""
+    lane = F.when(F.lit(False), 0)
+    for i, station in enumerate(config.flow):
+        lane = lane.when(F.col("pattern") == station, i)
+    port = config.flow.index("port") if "port" in config.flow else len(config.flow)
+    by = hops.withColumn("lane", lane).groupBy("project", "start").agg(
+        F.bool_or(F.col("lane") == 1).alias("service"), F.bool_or(F.col("lane") > 1).alias("beyond"), F.bool_or((F.col("lane") > port) & (F.col("depth") == 1)).alias("direct"), F.bool_or(F.col("lane") == 2).alias("crossing")
+    )
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    found = F.array_compact(F.array(F.when(yes("beyond") & ~yes("service"), "no-service"), F.when(yes("direct"), "direct"), F.when(yes("crossing"), "crossing")))
+    return by.select("project", "start", F.explode(found).alias("subset"))
+
+
+def endpoints(start: DataFrame, symbols: DataFrame) -> DataFrame:
+    """project, id, verb, route, file, owner of each entry, as the workbench lists them."""
+    about = symbols.groupBy("project", "id").agg(F.min_by(F.struct("name", "file", "parent", "module"), "ord").alias("_s"))
+    return start.join(about, ["project", "id"]).select("project", "id", "verb", F.col("_s.name").alias("route"), F.col("_s.file").alias("file"), F.coalesce("_s.parent", "_s.module").alias("owner"))
+
+
+def narration_slots(findings: DataFrame, coverage: DataFrame, impls: DataFrame, enforcement: DataFrame, state: DataFrame, flags: DataFrame | None = None) -> DataFrame:
+    """project, slot, text: what there is to say of a project, slot by slot; a slot without anything to
+    say is not there. flags is a cohesion report of flagged types."""
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    rest = F.col("total") - F.col("classified")
+    covered = coverage.select("project", F.lit("coverage").alias("slot"), F.when(rest == 0, text("All of ", plural(F.col("total"), "symbol"), " have a label.")).otherwise(
+        text(F.col("classified"), " of ", plural(F.col("total"), "symbol"), " (", F.format_number(100 * F.col("ratio"), 1), " %) have a label; ", rest, " have none and stand outside of every layer.")).alias("text"))
+    fake = F.col("is_test") | F.endswith("file", F.lit("mem.rs"))
+    made = impls.where("trait_id is not null").groupBy("project").agg(F.count_if(~fake).alias("real"), F.count_if(fake).alias("fake"))
+    seam = coverage.join(made, "project", "left").na.fill(0, ["real", "fake"])
+    ports = seam.select("project", F.lit("ports").alias("slot"), F.when(F.col("ports") == 0, F.lit("There is no port, so nothing that is asked of ports could be decided.")).otherwise(
+        text(plural(F.col("ports"), "port"), ", ", plural(F.col("real"), "implementation"), " and ", plural(F.col("fake"), "fake"), ".")).alias("text"))
+    by = enforcement.groupBy("project").pivot("bucket", ["compiler", "checked-here", "clippy", "advisory"]).agg(F.first("n")).na.fill(0)
+    held = by.select("project", F.lit("enforcement").alias("slot"), text("Of the rules the compiler holds ", F.col("compiler"), ", this check ", F.col("checked-here"), ", clippy ", F.col("clippy"), "; ", F.col("advisory"), " advise.").alias("text"))
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", "rule"))), lambda x: x["rule"]), ", ")
+
+    def rules(slot: str, condition: str, say) -> DataFrame:
+        found = findings.where(condition).groupBy("project").agg(F.count("*").alias("k"), F.sum("n").alias("n"), listed.alias("ids"))
+        return found.select("project", F.lit(slot).alias("slot"), say.alias("text"))
+
+    dark = rules("unevaluable", "status = 'unevaluable'", text(plural(F.col("k"), "rule"), " could not be evaluated: ", F.col("ids"), "."))
+    broken = rules("layering", "status = 'violated' and kind = 'decidable'", text(plural(F.col("n"), "violation"), " of ", plural(F.col("k"), "decidable rule"), ": ", F.col("ids"), "."))
+    guessed = rules("heuristics", "status = 'violated' and kind = 'heuristic'", text(plural(F.col("k"), "heuristic"), " fired, which gate nothing: ", F.col("ids"), "."))
+    moved = state.groupBy("project").agg(*[F.count_if(F.col("state") == x).alias(x) for x in ("known", "new", "fixed")])
+    accepted = moved.select("project", F.lit("baseline").alias("slot"), text(F.col("known"), " known, ", F.col("new"), " new, ", F.col("fixed"), " fixed against what was accepted.").alias("text"))
+    out = covered
+    for part in (ports, held, dark, broken, guessed, accepted):
+        out = out.unionByName(part)
+    if flags is not None:
+        widest = flags.groupBy("project").agg(F.count("*").alias("k"), F.max_by(F.struct("type", "n_fields", "n_methods", "lcom4", "modularity", "verdict"), F.struct("n_fields", "n_methods")).alias("w"))
+        said = text(plural(F.col("k"), "type"), " flagged; the widest is ", F.col("w.type"), " with ", plural(F.col("w.n_fields"), "field"), ", ", plural(F.col("w.n_methods"), "method"), ", LCOM4 ", F.col("w.lcom4"), ", Q ", F.format_number("w.modularity", 3), ": ", F.col("w.verdict"), ".")
+        out = out.unionByName(widest.select("project", F.lit("cohesion").alias("slot"), said.alias("text")))
+    return out

@@ -264,7 +264,7 @@ class Trade:
 
     @cached_property
     def findings(self) -> DataFrame:
-        return cut(self.evaluation.findings())
+        return self.evaluation.findings()
 
     @cached_property
     def wiring(self) -> wiring.Wiring:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .. import functions as fn
-from ..operators import churn, classify, cochange, cohesion, graph, impact, links, ratchet, resolve, rules, views, wiring
+from ..operators import assertions, churn, classify, cochange, cohesion, graph, impact, links, ratchet, resolve, rules, views, wiring
 from ..sources import gitlog
 from ..streaming import watch
 from . import sql
@@ -661,6 +661,91 @@ def narration(t: Trade) -> DataFrame:
     return views.narration(t.findings, classify.coverage(t.symbols, t.classified))
 
 
+@query("own", "sym", sql_body="SELECT pattern, count(*) AS n FROM own GROUP BY pattern UNION ALL SELECT 'unclassified', count(*) FROM sym WHERE parent IS NULL AND id NOT IN (SELECT id FROM own) HAVING count(*) > 0")
+def atlas_shape(t: Trade) -> DataFrame:
+    return views.atlas_shape(t.classified)
+
+
+@query("modules", "labels", sql_body="SELECT id AS module, CASE WHEN id IN (SELECT s.module FROM sym s JOIN labels l USING (id) WHERE l.layer = 'infrastructure') THEN 'platform' ELSE 'domain' END AS side FROM modules")
+def atlas_sides(t: Trade) -> DataFrame:
+    return views.atlas_sides(t.model, t.classified)
+
+
+_ENTRY_ROWS = "SELECT * FROM placed WHERE kind = 'fn' AND NOT is_test AND pattern = 'command-handler'"
+
+
+@query("placed", sql_body=f"SELECT module, count(*) AS n FROM ({_ENTRY_ROWS}) GROUP BY module")
+def city_entries(t: Trade) -> DataFrame:
+    return views.city_entries(views.entries(t.model, t.classified), t.symbols)
+
+
+@query(*_NEEDED, sql_body=f"SELECT s.module, rule, count(*) AS n FROM ({_INSTANCES}) i JOIN sym s ON s.id = i.from_id GROUP BY 1, 2")
+def city_findings(t: Trade) -> DataFrame:
+    return views.city_findings(t.evaluation.instances(), t.symbols)
+
+
+@query("edges", "modules", sql_body=f"SELECT DISTINCT x.file AS a, y.file AS b FROM ({_FILE_LINKS}) l JOIN modules x ON x.id = l.a JOIN modules y ON y.id = l.b")
+def hotspot_links(t: Trade) -> DataFrame:
+    return views.hotspot_links(links.file_links(t.edges, t.symbols), t.modules)
+
+
+@query("commits", sql_body="SELECT min(date) AS since, count(DISTINCT hash) AS commits, count(DISTINCT path) AS files, true AS available, count(DISTINCT hash) >= 20 AS enough, '' AS reason FROM commits")
+def hotspot_meta(t: Trade) -> DataFrame:
+    return views.hotspot_meta(t.commit_files)
+
+
+_CELLS = """
+SELECT t.type, t.method, t.field, r."row", c.col FROM touches t
+JOIN (SELECT type, method, (row_number() OVER (PARTITION BY type ORDER BY grp, method) - 1)::INTEGER AS "row" FROM groups) r USING (type, method)
+JOIN (SELECT type, field, (row_number() OVER (PARTITION BY type ORDER BY grp, field) - 1)::INTEGER AS col FROM owners) c USING (type, field)"""
+
+
+@query("owners", sql_body=_CELLS)
+def matrix_cells(t: Trade) -> DataFrame:
+    return views.matrix_cells(t.touches, _groups(t), ["project", "type"])
+
+
+_LANES = "(SELECT start, node, h.depth, CASE pattern WHEN 'command-handler' THEN 0 WHEN 'service' THEN 1 WHEN 'use-case' THEN 2 WHEN 'port' THEN 3 WHEN 'store' THEN 4 END AS lane FROM h)"
+_SUBSETS = f"""
+SELECT start, unnest(list_filter([CASE WHEN beyond AND NOT service THEN 'no-service' END, CASE WHEN direct THEN 'direct' END, CASE WHEN crossing THEN 'crossing' END], lambda x: x IS NOT NULL)) AS subset FROM (
+SELECT start, coalesce(bool_or(lane = 1), false) AS service, coalesce(bool_or(lane > 1), false) AS beyond, coalesce(bool_or(lane > 3 AND depth = 1), false) AS direct, coalesce(bool_or(lane = 2), false) AS crossing FROM {_LANES} GROUP BY start)"""
+
+
+@query("placed", "edges", sql_body=_HOPS.replace("\nSELECT start, node", "\n, h AS (SELECT start, node", 1) + ")" + _SUBSETS)
+def traffic_subsets(t: Trade) -> DataFrame:
+    return views.traffic_subsets(views.traffic(t.model, t.classified), CONFIG)
+
+
+@query("placed", sql_body=f"SELECT id, verb FROM (SELECT id, CASE WHEN contains(file, 'tui') THEN 'tui' ELSE 'cli' END AS verb, name, module FROM ({_ENTRY_ROWS})) WHERE verb = 'cli' AND contains(lower(verb || ' ' || name || ' ' || module || ' ' || module), 'hot')")
+def traffic_search(t: Trade) -> DataFrame:
+    return views.traffic_filter(views.entries(t.model, t.classified), t.symbols, ("cli",), " HOT ").select("project", "id", "verb")
+
+
+@query("placed", sql_body=f"SELECT id, CASE WHEN contains(file, 'tui') THEN 'tui' ELSE 'cli' END AS verb, name AS route, file, coalesce(parent, module) AS owner FROM ({_ENTRY_ROWS})")
+def endpoints(t: Trade) -> DataFrame:
+    return views.endpoints(views.entries(t.model, t.classified), t.symbols)
+
+
+_SLOTS = f"""
+, f AS MATERIALIZED ({_FINDINGS}), cov AS (SELECT (SELECT count(*) FROM own) AS c, (SELECT count(*) FROM sym WHERE parent IS NULL) AS t, (SELECT count(*) FROM sym WHERE kind = 'trait' AND starts_with(file, 'domain/ports/')) AS p),
+made AS (SELECT count(*) FILTER (NOT fake) AS real, count(*) FILTER (fake) AS fake FROM (SELECT is_test OR ends_with(file, 'mem.rs') AS fake FROM impls)),
+e AS (SELECT count(*) FILTER (b = 'compiler') AS compiler, count(*) FILTER (b = 'checked-here') AS here, count(*) FILTER (b = 'clippy') AS clippy, count(*) FILTER (b = 'advisory') AS advisory FROM (SELECT CASE WHEN NOT ({_GATES}) THEN 'advisory' WHEN tier = 'compiler' THEN 'compiler' WHEN tier = 'clippy' THEN 'clippy' ELSE 'checked-here' END AS b FROM f))
+SELECT 'coverage' AS slot, CASE WHEN c = t THEN 'All of ' || t || ' symbols have a label.' ELSE c || ' of ' || t || ' symbols (' || format('{{:.1f}}', 100.0 * c / t) || ' %) have a label; ' || (t - c) || ' have none and stand outside of every layer.' END AS text FROM cov
+UNION ALL SELECT 'ports', CASE WHEN p = 0 THEN 'There is no port, so nothing that is asked of ports could be decided.' ELSE p || CASE p WHEN 1 THEN ' port, ' ELSE ' ports, ' END || real || CASE real WHEN 1 THEN ' implementation and ' ELSE ' implementations and ' END || fake || CASE fake WHEN 1 THEN ' fake.' ELSE ' fakes.' END END FROM cov, made
+UNION ALL SELECT 'enforcement', 'Of the rules the compiler holds ' || compiler || ', this check ' || here || ', clippy ' || clippy || '; ' || advisory || ' advise.' FROM e
+UNION ALL SELECT 'unevaluable', k || CASE k WHEN 1 THEN ' rule' ELSE ' rules' END || ' could not be evaluated: ' || ids || '.' FROM (SELECT count(*) AS k, string_agg(rule, ', ' ORDER BY no) AS ids FROM f WHERE status = 'unevaluable' HAVING count(*) > 0)
+UNION ALL SELECT 'layering', n || CASE n WHEN 1 THEN ' violation of ' ELSE ' violations of ' END || k || CASE k WHEN 1 THEN ' decidable rule: ' ELSE ' decidable rules: ' END || ids || '.' FROM (SELECT count(*) AS k, sum(n) AS n, string_agg(rule, ', ' ORDER BY no) AS ids FROM f WHERE status = 'violated' AND kind = 'decidable' HAVING count(*) > 0)
+UNION ALL SELECT 'heuristics', k || CASE k WHEN 1 THEN ' heuristic' ELSE ' heuristics' END || ' fired, which gate nothing: ' || ids || '.' FROM (SELECT count(*) AS k, string_agg(rule, ', ' ORDER BY no) AS ids FROM f WHERE status = 'violated' AND kind = 'heuristic' HAVING count(*) > 0)
+UNION ALL SELECT 'baseline', '0 known, ' || n || ' new, 0 fixed against what was accepted.' FROM (SELECT count(DISTINCT rule || '|' || from_id || '|' || to_id) AS n FROM ({_INSTANCES}) WHERE rule IN (SELECT rule FROM f WHERE status = 'violated' AND {_GATES}) HAVING count(*) > 0)"""
+
+
+@query(*dict.fromkeys([*_NEEDED, "placed", "own", "impls"]), sql_body=_SLOTS)
+def narration_slots(t: Trade) -> DataFrame:
+    now = ratchet.current(t.findings, t.evaluation.instances())
+    state = ratchet.diff(now, now.limit(0).withColumn("note", F.lit("")))
+    return views.narration_slots(t.findings, classify.coverage(t.symbols, t.classified), t.impls, ratchet.enforcement(t.findings), state)
+
+
 # ---------------------------------------------------------------- co-change and risk
 
 _PAIRS = """
@@ -685,6 +770,32 @@ def unexplained_coupling(t: Trade) -> DataFrame:
     return cochange.unexplained(cochange.pairs(t.changes), t.change_links).select("project", "a", "b", "together")
 
 
+_CROSS = _PAIRS + "SELECT a, b, split_part(a, '/', 1) <> split_part(b, '/', 1) AS cross_module FROM pairs WHERE NOT EXISTS (SELECT 1 FROM change_links l WHERE (l.a = pairs.a AND l.b = pairs.b) OR (l.a = pairs.b AND l.b = pairs.a))"
+
+
+@query("changes", "change_links", sql_body=_CROSS)
+def coupling_across_modules(t: Trade) -> DataFrame:
+    places = t.changes.select("project", "path", F.substring_index("path", "/", 1).alias("module")).distinct()
+    return cochange.unexplained(cochange.pairs(t.changes), t.change_links, places).select("project", "a", "b", "cross_module")
+
+
+@query("changes", "change_links", sql_body=_PAIRS + "SELECT CASE WHEN count(*) > 0 THEN 'violated' ELSE 'pass' END AS status, '' AS because, count(*) AS n FROM pairs WHERE NOT EXISTS (SELECT 1 FROM change_links l WHERE (l.a = pairs.a AND l.b = pairs.b) OR (l.a = pairs.b AND l.b = pairs.a))")
+def coupling_status(t: Trade) -> DataFrame:
+    return cochange.status(t.changes, t.change_links)
+
+
+@query(raw=True, sql_body=f"SELECT count(*) FILTER (state = 'new' AND rule IN ('1-URGENT', '5-LOW')) AS n FROM ({_STATE})")
+def gating_new(t: Trade) -> DataFrame:
+    return assertions.gating_new(ratchet.diff(*_snapshots(t)), ("1-URGENT", "5-LOW"))
+
+
+@query(raw=True, sql_body="SELECT page_id, replace(url, '+', ' ') || ' x%zz y' AS text FROM pages WHERE url IS NOT NULL")
+def percent_decoding(t: Trade) -> DataFrame:
+    """URLs written with escapes, and read back."""
+    written = F.concat(F.replace(F.replace("url", F.lit("/"), F.lit("%2F")), F.lit(":"), F.lit("%3a")), F.lit("+x%zz%20y"))
+    return t.table("pages").where("url is not null").select(F.lit(PROJECT).alias("project"), "page_id", fn.percent_decoded(written).alias("text"))
+
+
 _MATRIX = "SELECT least(x, y) AS ma, greatest(x, y) AS mb, count(*) AS pairs, sum(together)::BIGINT AS together FROM (SELECT right(a, 1) AS x, right(b, 1) AS y, together FROM pairs) GROUP BY 1, 2"
 
 
