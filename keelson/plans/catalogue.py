@@ -10,9 +10,9 @@ from pyspark.sql import Window as W
 
 from .. import functions as fn
 from ..operators import assertions, churn, classify, cochange, cohesion, graph, impact, links, ratchet, resolve, rules, views, wiring
-from ..sources import gitlog
+from ..sources import crates, gitlog
 from ..streaming import watch
-from . import sql
+from . import families, sql
 from .adapters import CONFIG, PROJECT, Trade, trade
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,6 +129,24 @@ def url_resolution(t: Trade) -> DataFrame:
     return found.groupBy("project", "outcome").agg(F.count("*").alias("n"))
 
 
+# ---------------------------------------------------------------- the scanner, on a crate for each family
+
+
+def _scan_query(table: str) -> None:
+    def run(t: Trade) -> DataFrame:
+        """One table of a scan of all families, against what was written out by hand."""
+        if not hasattr(t, "scanned"):
+            t.scanned = crates.scan(families.files(t))
+        return families.found(t.scanned, table).withColumnRenamed("project", "family")
+
+    run.__name__ = f"scan_{table}"
+    query("plain", sql_body=families.expected_sql(table))(run)
+
+
+for _table in families.EXPECTED:
+    _scan_query(_table)
+
+
 # ---------------------------------------------------------------- classification
 
 
