@@ -12,8 +12,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces that a worker remembers, and the longest of them in characters.
-REMEMBERED, REMEMBERED_CHARS = 200_000, 48
+#: Pieces that a worker remembers because they came again, those it remembers from their first time
+#: on, and the longest of them in characters.
+REMEMBERED, MET_ONCE, REMEMBERED_CHARS = 140_000, 60_000, 48
 #: Pieces of at most so many bytes are merged together with others of like length.
 LONGEST_TOGETHER = 64
 #: Texts are encoded together up to so many characters.
@@ -38,6 +39,7 @@ class ByteBPE:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.known: dict[str, bytes] = {}
+        self.met: dict[str, bytes] = {}
         self.byte_ranks = np.array([ranks.get(bytes([i]), -1) for i in range(256)])
         self.pair_keys: np.ndarray | None = None
 
@@ -190,15 +192,21 @@ class ByteBPE:
         """Ids of whole texts, as int32."""
         get = self.known.get
         cut = [self.pieces(text) for text in texts]
-        found = [[get(p) for p in pieces] for pieces in cut]
-        lacking = [k for k, packed in enumerate(found) if None in packed]
-        if lacking:
-            new = self.merge_many(list({p for k in lacking for p, packed in zip(cut[k], found[k], strict=True) if packed is None}))
-            for k in lacking:
-                found[k] = [new[p] if packed is None else packed for p, packed in zip(cut[k], found[k], strict=True)]
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-            self.known.update((p, x) for p, x in new.items() if len(p) <= REMEMBERED_CHARS)
+        found = [list(map(get, pieces)) for pieces in cut]
+        gaps = [(k, [i for i, packed in enumerate(packed_all) if packed is None]) for k, packed_all in enumerate(found) if None in packed_all]
+        if gaps:
+            missing = {cut[k][i] for k, places in gaps for i in places}
+            again = {p: self.met.pop(p) for p in missing.intersection(self.met)}
+            new = self.merge_many(list(missing - again.keys()))
+            either = again | new
+            for k, places in gaps:
+                pieces, packed_all = cut[k], found[k]
+                for i in places:
+                    packed_all[i] = either[pieces[i]]
+            for held, most, more in ((self.known, REMEMBERED, again), (self.met, MET_ONCE, new)):
+                if len(held) + len(more) > most:
+                    held.clear()
+                held.update((p, x) for p, x in more.items() if len(p) <= REMEMBERED_CHARS)
         return [np.frombuffer(b"".join(packed), np.int32) for packed in found]
 
     def encode(self, text: str) -> np.ndarray:
