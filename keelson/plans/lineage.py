@@ -32,13 +32,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """df, written as Parquet to the folder that all executors share, and read back.
 
     Readers prune its columns, know its size, and do not compute df again when executors are lost.
     """
     path = f"{shared_folder(df.sparkSession)}/keelson-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     if not _written:
         atexit.register(release)
     _written.append(path)

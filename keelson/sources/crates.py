@@ -415,7 +415,7 @@ def scan(files: DataFrame) -> Scan:
     A project is parsed as one group, thousands of them side by side; the rows of all tables
     are written once, by table. Everything after that is joins.
     """
-    parsed = cut(files.groupBy("project").applyInPandas(_parse, "project string, table string, row string"))
+    parsed = cut(files.groupBy("project").applyInPandas(_parse, "project string, table string, row string"), "table")
     table = lambda name: parsed.where(F.col("table") == name).select(F.from_json("row", _SCHEMAS[name]).alias("r")).select("r.*")
     symbols, modules, impls = table("symbols"), table("modules"), table("impls")
     index = cut(symbols.select("project", "id").unionByName(modules.where("not startswith(id, '(')").select("project", "id")).distinct())
