@@ -31,6 +31,7 @@ class Scope(NamedTuple):
     uses: DataFrame  # module, alias, path
     globs: DataFrame  # module, ord, base
     crates: DataFrame  # self_crate, externs array<string>
+    answers: DataFrame | None = None  # module, raw, id, full, externs of paths that are resolved already
 
 
 def longest_prefix(paths: DataFrame, index: DataFrame, path: str = "path", least: str | None = None) -> DataFrame:
@@ -114,6 +115,8 @@ def resolve_paths(raw: DataFrame, scope: Scope) -> DataFrame:
     Each distinct path of a module is resolved once.
     """
     keys = ["project", "module", "raw"]
+    if scope.answers is not None:
+        return raw.join(scope.answers, keys, "left")
     tried = candidates(raw.select(*keys).where("raw is not null").distinct(), scope)
     each = tried.select(*keys, F.posexplode("tries").alias("_c", "t")).select(*keys, "_c", F.posexplode(prefixes(F.col("t.path"), F.col("t.least"))).alias("_n", "id"))
     hit = each.where("id != ''").join(scope.index.select("project", "id").distinct(), ["project", "id"]).groupBy(*keys).agg(F.min_by("id", F.struct("_c", "_n")).alias("id"))
@@ -121,6 +124,14 @@ def resolve_paths(raw: DataFrame, scope: Scope) -> DataFrame:
     return raw.join(answers, keys, "left")
 
 
+def answered(scope: Scope, *paths: DataFrame) -> DataFrame:
+    """What all these paths (project, module, raw) name, each distinct one once: a table for scope.answers."""
+    every = paths[0].select("project", "module", "raw")
+    for more in paths[1:]:
+        every = every.unionByName(more.select("project", "module", "raw"))
+    return resolve_paths(every.where("raw is not null").distinct(), scope)
+
+
 def outcomes(resolved: DataFrame) -> DataFrame:
     """resolved with outcome: local, extern, unresolved, or none (too plain to report)."""
     first = head(F.col("full"))

@@ -421,6 +421,8 @@ def scan(files: DataFrame) -> Scan:
     index = cut(symbols.select("project", "id").unionByName(modules.where("not startswith(id, '(')").select("project", "id")).distinct())
     uses = table("uses").groupBy("project", "module", "alias").agg(F.max_by("path", "ord").alias("path"), F.max("ord").alias("ord"))
     scope = resolve.Scope(index, modules, uses, table("globs"), table("crates"))
+    named = symbols.select("project", "module", F.explode("recv_calls").alias("c")).select("project", "module", F.explode(F.array("c.ty", "c.callee")).alias("raw"))
+    scope = scope._replace(answers=cut(resolve.answered(scope, table("raw_edges"), impls.withColumnRenamed("trait_path", "raw"), named)))
     edges, unresolved = resolve.resolve_edges(table("raw_edges"), scope)
     diagnostics = table("diagnostics").unionByName(resolve.cfg_notes(symbols)).unionByName(unresolved)
     model = Model(
