@@ -102,12 +102,20 @@ def fingerprint(rule: Column, from_id: Column, to_id: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", rule, from_id, F.coalesce(to_id, F.lit("")))), 1, 12)
 
 
+def _dated(epoch: Column, rest: str) -> Column:
+    """The year of epoch seconds, four digits or as many as it has, and what the pattern `rest` makes of them."""
+    at = F.timestamp_seconds(epoch)
+    year = F.year(at)
+    digits = year.cast("string")
+    return F.concat(F.when(year.between(0, 9999), F.lpad(digits, 4, "0")).otherwise(digits), F.date_format(at, rest))
+
+
 def iso_stamp(epoch: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return _dated(epoch, "-MM-dd'T'HH:mm:ss'Z'")
 
 
 def civil_date(epoch: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd")
+    return _dated(epoch, "-MM-dd")
 
 
 def churn_score(commits: Column, dependents: Column) -> Column:

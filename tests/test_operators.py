@@ -19,6 +19,13 @@ def test_scores_and_stamps(spark):
     assert [tuple(r) for r in stamps] == [("1970-01-01T00:00:00Z", "1970-01-01"), ("1970-01-01T23:59:59Z", "1970-01-01"), ("1970-01-02T00:00:00Z", "1970-01-02"), ("2024-02-29T00:00:00Z", "2024-02-29"), ("2025-10-23T15:49:27Z", "2025-10-23")]
 
 
+def test_stamps_of_far_years(spark):
+    seconds = [(None,), (-62167219201,), (-62135596801,), (-62135596800,), (253402300799,), (253402300800,), (777591234567,), (9223372036853,)]
+    stamps = spark.createDataFrame(seconds, "t long").select(fn.iso_stamp(F.col("t")), fn.civil_date(F.col("t"))).collect()
+    want = [None, "-1-12-31T23:59:59Z", "0000-12-31T23:59:59Z", "0001-01-01T00:00:00Z", "9999-12-31T23:59:59Z", "10000-01-01T00:00:00Z", "26610-11-20T13:09:27Z", "294247-01-10T04:00:53Z"]
+    assert [tuple(r) for r in stamps] == [(x, x and x[:-10]) for x in want]
+
+
 def test_hotspot_bounds(spark):
     rows = [("p", f"f{i}", 1, 0) for i in range(42)] + [("p", "busy", 31, 0), ("p", "leaned", 1, 6)]
     files = spark.createDataFrame(rows, "project string, path string, commits long, deps long")
