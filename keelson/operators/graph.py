@@ -2,58 +2,168 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from heapq import heappop, heappush
 from itertools import count
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 
 TRACE_DEPTH = 6
+#: Tasks for each core that traces are dealt to (each holds the links of the projects it traces), and nodes of a row.
+DEALS, ROW_NODES = 1, 4096
 MOST_ROUNDS = 200
 
 
-def _spread(frontier: DataFrame, links: DataFrame, most: int | None, stop: DataFrame | None = None) -> DataFrame:
-    """Nodes met from a frontier (project, start, node): rows project, start, node, depth; up to
-    `most` levels, or until nothing new is met.
+def _spread(frontier: DataFrame, links: DataFrame) -> DataFrame:
+    """Nodes met from a frontier (project, start, node): rows project, start, node, depth; until nothing new is met.
 
     One join for each level; what was met before is left out by an anti join, so cycles end, and
     every level is written before the next, so the plan does not grow with the depth.
     """
     links = links.select("project", F.col("a").alias("node"), F.col("b").alias("next")).distinct()
     seen = cut(frontier.select("project", "start", "node").withColumn("depth", F.lit(0)).limit(0))
-    for depth in count(1) if most is None else range(1, most + 1):
+    for depth in count(1):
         met = frontier.join(links, ["project", "node"]).select("project", "start", F.col("next").alias("node")).distinct()
         met = cut(met.join(seen, ["project", "start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if met.isEmpty():
             break
         seen = cut(seen.unionByName(met))
         frontier = met.select("project", "start", "node")
-        if stop is not None:
-            frontier = frontier.join(stop.select("project", "node"), ["project", "node"], "left_anti")
     return seen
 
 
-def trace(entries: DataFrame, links: DataFrame, stations: DataFrame, ports: DataFrame, depth: int = TRACE_DEPTH) -> DataFrame:
+def _reached(start: int, ends: np.ndarray, to: np.ndarray, ports: np.ndarray, depth: int) -> list[np.ndarray]:
+    """What is met from a start at each level for the first time; links of node n are to[ends[n]:ends[n + 1]]."""
+    seen, levels = np.zeros(len(ports), bool), []
+    frontier = np.array([start])
+    for _ in range(depth):
+        sizes = ends[frontier + 1] - ends[frontier]
+        met = np.zeros(len(ports), bool)
+        met[to[np.repeat(ends[frontier] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]] = True
+        met &= ~seen
+        seen |= met
+        found = np.flatnonzero(met)
+        if not len(found):
+            break
+        levels.append(found)
+        frontier = found[~ports[found]]
+    return levels
+
+
+def _traced(batches: Iterator[pa.RecordBatch], depth: int, named: bool) -> Iterator[pa.RecordBatch]:
+    """Levels of the traces of rows (project, n, id, kind, port, start, after) in order of their project:
+    a row for each start, depth, port or not and kind, with the nodes' names in pieces of ROW_NODES."""
+    names = ["project", "start", "depth", "is_port", "kind", "nodes"]
+
+    def run(project: str, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.sort_by("n")
+        known, after = table["n"].to_numpy(), table["after"].combine_chunks()
+        to = np.searchsorted(known, after.flatten().to_numpy())
+        ends = np.r_[0, np.cumsum(after.value_lengths().fill_null(0).to_numpy())]
+        ports, starts = (table[c].to_numpy(zero_copy_only=False) for c in ("port", "start"))
+        ids, kinds = table["id"].combine_chunks(), table["kind"].combine_chunks().dictionary_encode()
+        labels = 2 * kinds.indices.to_numpy() + ports
+        for s in np.flatnonzero(starts).tolist():
+            rows = []
+            for k, level in enumerate(_reached(s, ends, to, ports, depth), 1):
+                level = level[np.argsort(labels[level], kind="stable")]
+                cuts = np.flatnonzero(np.diff(labels[level], prepend=-1))
+                for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(level)], strict=True):
+                    rows += [(k, level[x : min(x + ROW_NODES, b)]) for x in (range(a, b, ROW_NODES) if named else (a,))]
+            if not rows:
+                continue
+            first = np.array([x[0] for _, x in rows])
+            if named:
+                own = pa.ListArray.from_arrays(np.cumsum([0, *(len(x) for _, x in rows)]).astype(np.int32), ids.take(pa.array(np.concatenate([x for _, x in rows]))))
+            else:
+                own = pa.nulls(len(rows), pa.list_(pa.string()))
+            texts = [pa.array([project] * len(rows), pa.string()), pa.array([ids[s].as_py()] * len(rows), pa.string())]
+            yield pa.RecordBatch.from_arrays([*texts, pa.array([k for k, _ in rows], pa.int32()), pa.array(ports[first]), kinds.dictionary.take(pa.array(labels[first] // 2)), own], names)
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            project, column = batch.column(0)[at].as_py(), batch.column(0)
+            if held and held[0].column(0)[0].as_py() != project:
+                yield from run(held[0].column(0)[0].as_py(), pa.Table.from_batches(held))
+                held = []
+            ahead = pc.index(pc.not_equal(column[at:], project), True).as_py()
+            end = batch.num_rows if ahead < 0 else at + ahead
+            held.append(batch.slice(at, end - at))
+            at = end
+    if held:
+        yield from run(held[0].column(0)[0].as_py(), pa.Table.from_batches(held))
+
+
+def _numbered(nodes: DataFrame) -> DataFrame:
+    """nodes, written, with n: the rows numbered from 0."""
+    nodes = cut(nodes.withColumn("_at", F.monotonically_increasing_id()))
+    part, offsets, total = F.shiftright("_at", 33), [], 0
+    for r in sorted(nodes.groupBy(part.alias("part")).count().collect()):
+        offsets.append((r[0], total))
+        total += r[1]
+    before = nodes.sparkSession.createDataFrame(offsets, "part long, before long")
+    own = nodes.withColumn("part", part).join(F.broadcast(before), "part")
+    return own.withColumn("n", (F.col("before") + F.col("_at").bitwiseAND((1 << 33) - 1)).cast("int")).drop("part", "before", "_at")
+
+
+def trace(entries: DataFrame, links: DataFrame, stations: DataFrame, ports: DataFrame, depth: int = TRACE_DEPTH, carried: str | None = None, named: bool = True) -> DataFrame:
     """project, start, node, depth, is_port: what each entry (project, id) reaches.
 
     Links are (project, a, b); only nodes in stations (project, id) are met; a port is met but
-    not passed. The start is not among what was seen, so a cycle back to it is a hop.
+    not passed. The start is not among what was seen, so a cycle back to it is a hop. With
+    `carried`, a column of stations, a hop has that of its node, and there is a hop for each
+    station of one id; without `named` there is no node, but a row for each other value.
+
+    Nodes are numbered, and a task holds the links of a project while it walks from its share of the
+    entries, so that nothing is written that grows with the hops.
     """
-    start = entries.select("project", F.col("id").alias("start"), F.col("id").alias("node"))
-    known = stations.select("project", F.col("id").alias("b"))
-    stop = ports.select("project", F.col("id").alias("node")).distinct()
-    hops = _spread(start, links.join(known, ["project", "b"], "left_semi"), depth, stop)
-    return hops.join(stop.withColumn("_port", F.lit(True)), ["project", "node"], "left").select("project", "start", "node", "depth", F.coalesce("_port", F.lit(False)).alias("is_port"))
+    spark = entries.sparkSession
+    key = ["project", "id"]
+    kind = F.to_json(F.sort_array(F.collect_list(F.struct(F.col(carried).alias("v"))))) if carried else F.lit("")
+    known = stations.where("id is not null").groupBy(*key).agg(kind.alias("kind"), F.lit(True).alias("station"))
+    known = known.join(ports.select(*key, F.lit(True).alias("port")).distinct(), key, "left")
+    starts = entries.where("id is not null").select(*key, F.lit(True).alias("start")).distinct()
+    no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    nodes = _numbered(known.join(starts, key, "full_outer").select(*key, F.coalesce("kind", F.lit("")).alias("kind"), *map(no, ("station", "port", "start"))))
+    number = lambda end, c: nodes.where(c).select("project", F.col("id").alias(end), F.col("n").alias(f"n_{end}"))
+    met = links.select("project", "a", "b").join(number("b", "station"), ["project", "b"]).join(number("a", "station or start"), ["project", "a"])
+    after = met.groupBy("project", F.col("n_a").alias("n")).agg(F.collect_set("n_b").alias("after"))
+    graph = cut(nodes.join(after, ["project", "n"], "left"))
+    # a project's share of the tasks follows the links and entries that it has
+    tasks = max(1, DEALS * spark.sparkContext.defaultParallelism)
+    work = graph.groupBy("project").agg(F.count_if("start").alias("starts"), (F.count_if("start") * (F.sum(F.greatest(F.size("after"), F.lit(0))) + 1)).cast("double").alias("work")).where("starts > 0")
+    every = work.agg(F.sum("work").alias("all"))
+    share = F.least(F.col("starts"), F.ceil(F.col("work") / F.col("all") * tasks)).cast("int")
+    dealt = work.crossJoin(F.broadcast(every)).select("project", F.least(share, F.lit(tasks)).alias("share"))
+    copies = graph.join(dealt, "project").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("share") - 1)))
+    copies = copies.withColumn("start", F.col("start") & (F.pmod("n", "share") == F.col("k")))
+    copies = copies.repartitionById(tasks, F.pmod(F.hash("project").cast("long") + F.col("k"), F.lit(tasks)).cast("int"))
+    own = copies.select("project", "n", "id", "kind", "port", "start", "after").sortWithinPartitions("project")
+    found = own.mapInArrow(lambda batches: _traced(batches, depth, named), "project string, start string, depth int, is_port boolean, kind string, nodes array<string>")
+    out = ["project", "start", "depth", "is_port"]
+    if carried:
+        of = stations.schema[carried].dataType.simpleString()
+        found = found.withColumn("v", F.explode(F.from_json("kind", f"array<struct<v:{of}>>"))).withColumn(carried, F.col("v.v"))
+        out.append(carried)
+    if named:
+        return found.select(*out, F.explode("nodes").alias("node")).select("project", "start", "node", *out[2:])
+    return found.select(*out)
 
 
 def dependents_of(changed: DataFrame, links: DataFrame) -> DataFrame:
     """project, node, depth: who depends on the changed nodes (project, id), directly (1) or not."""
     start = changed.select("project", F.lit("").alias("start"), F.col("id").alias("node"))
     back = links.select("project", F.col("b").alias("a"), F.col("a").alias("b"))
-    found = _spread(start, back, None)
+    found = _spread(start, back)
     return found.join(changed.select("project", F.col("id").alias("node")), ["project", "node"], "left_anti").select("project", "node", "depth")
 
 

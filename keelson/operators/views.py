@@ -112,12 +112,12 @@ def entries(model: Model, classified: Classified) -> DataFrame:
     return found.select("project", "id", F.when(keys | F.contains("file", F.lit("tui")), "tui").otherwise("cli").alias("verb"), args.alias("args"))
 
 
-def traffic(model: Model, classified: Classified, depth: int = graph.TRACE_DEPTH) -> DataFrame:
-    """project, start, node, depth, is_port, pattern: what each entry reaches over calls and bounds."""
+def traffic(model: Model, classified: Classified, depth: int = graph.TRACE_DEPTH, named: bool = True) -> DataFrame:
+    """project, start, node, depth, is_port, pattern: what each entry reaches over calls and bounds;
+    without `named`, no node, but a row for each depth and pattern that an entry reaches."""
     links = model.edges.where("to_scope = 'local' and kind in ('call', 'bound')").select("project", F.col("from_id").alias("a"), F.col("to_id").alias("b"))
     stations = classified.by_symbol.select("project", "id", "pattern")
-    hops = graph.trace(entries(model, classified), links, stations, stations.where("pattern = 'port'"), depth)
-    return hops.join(stations.withColumnRenamed("id", "node"), ["project", "node"], "left")
+    return graph.trace(entries(model, classified), links, stations, stations.where("pattern = 'port'"), depth, "pattern", named)
 
 
 def untraced(start: DataFrame, hops: DataFrame) -> DataFrame:

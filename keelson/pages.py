@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import title_case
 from .operators import assertions, churn, classify, cohesion, links, ratchet, rules, views, wiring
+from .plans.lineage import cut
 
 #: Views in the order of the index, and what each is about.
 VIEWS = {
@@ -67,7 +68,7 @@ class Board:
 
     @cached_property
     def hops(self) -> DataFrame:
-        return views.traffic(self.model, self.classified)
+        return cut(views.traffic(self.model, self.classified))
 
     @cached_property
     def cohesion(self) -> DataFrame:

@@ -203,3 +203,24 @@ def test_measures_by_brute_force(spark):
             degree = sum(w * ((label[a] == c) + (label[b] == c)) for (a, b), w in weights.items())
             q += inside / total - (degree / (2 * total)) ** 2
         assert r.modularity == pytest.approx(q)
+
+
+def _fan(spark, n=300):
+    """n entries that lead to one hub, and that to n nodes, one a port that leads further: n * (n + 1) hops over 2 n + 1 links."""
+    links = [("p", f"e{i}", "hub") for i in range(n)] + [("p", "hub", f"n{i}") for i in range(n)] + [("p", "n0", "beyond"), ("q", "e0", "n1")]
+    entries = spark.createDataFrame([("p", f"e{i}") for i in range(n)] + [("p", "e0"), ("q", "e0"), ("q", None)], "project string, id string")
+    stations = [("p", "hub", "x"), ("p", "beyond", "x"), ("q", "n1", None), ("q", "n1", "z")] + [("p", f"n{i}", "y" if i % 2 else "port") for i in range(n)]
+    ports = spark.createDataFrame([("p", "n0")], "project string, id string")
+    return entries, spark.createDataFrame(links, "project string, a string, b string"), spark.createDataFrame(stations, "project string, id string, pattern string"), ports
+
+
+def test_a_trace_writes_no_hops(spark, monkeypatch):
+    written, write = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(write(df)) or written[-1])
+    monkeypatch.setattr(graph, "ROW_NODES", 7)
+    hops = graph.trace(*_fan(spark), carried="pattern")
+    found = sorted((tuple(r) for r in hops.select("project", "start", "node", "depth", "is_port", "pattern").collect()), key=repr)
+    want = [("p", f"e{i}", "hub", 1, False, "x") for i in range(300)] + [("q", "e0", "n1", 1, False, x) for x in (None, "z")]
+    want += [("p", f"e{i}", f"n{k}", 2, k == 0, "y" if k % 2 else "port") for i in range(300) for k in range(300)]
+    assert found == sorted(want, key=repr)
+    assert max(df.count() for df in written) <= 2 * 300 + 4
