@@ -731,7 +731,7 @@ SELECT start, coalesce(bool_or(lane = 1), false) AS service, coalesce(bool_or(la
 
 @query("placed", "edges", sql_body=_HOPS.replace("\nSELECT start, node", "\n, h AS (SELECT start, node", 1) + ")" + _SUBSETS)
 def traffic_subsets(t: Trade) -> DataFrame:
-    return views.traffic_subsets(views.traffic(t.model, t.classified), CONFIG)
+    return views.traffic_subsets(views.traffic(t.model, t.classified, named=False), CONFIG)
 
 
 @query("placed", sql_body=f"SELECT id, verb FROM (SELECT id, CASE WHEN contains(file, 'tui') THEN 'tui' ELSE 'cli' END AS verb, name, module FROM ({_ENTRY_ROWS})) WHERE verb = 'cli' AND contains(lower(verb || ' ' || name || ' ' || module || ' ' || module), 'hot')")

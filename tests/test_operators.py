@@ -224,3 +224,12 @@ def test_a_trace_writes_no_hops(spark, monkeypatch):
     want += [("p", f"e{i}", f"n{k}", 2, k == 0, "y" if k % 2 else "port") for i in range(300) for k in range(300)]
     assert found == sorted(want, key=repr)
     assert max(df.count() for df in written) <= 2 * 300 + 4
+
+
+def test_a_trace_without_names(spark):
+    """A row for each entry, depth and kind of node says as much as the hops do."""
+    fan = _fan(spark)
+    brief = graph.trace(*fan, carried="pattern", named=False)
+    found = [tuple(r) for r in brief.select("project", "start", "depth", "is_port", "pattern").collect()]
+    hops = graph.trace(*fan, carried="pattern").select("project", "start", "depth", "is_port", "pattern")
+    assert len(found) == 300 * 4 + 2 and set(found) == {tuple(r) for r in hops.collect()}
