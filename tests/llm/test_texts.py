@@ -455,6 +455,59 @@ def test_passages_of_frequent_lines(spark, lines, size, monkeypatch):
     assert {r.doc_id for r in found} == want
 
 
+@pytest.mark.parametrize("piece,few", [(7, 16), (14, 16), (14, 2)])
+def test_links_of_frequent_seeds_only(spark, piece, few, monkeypatch):
+    """All seeds that two texts share are frequent, their first texts are others, and no 32 words in a row are equal."""
+    monkeypatch.setattr(substring, "FREQUENT", 3)
+    monkeypatch.setattr(substring, "FEW", few, raising=False)
+    draw = random.Random(piece)
+    fresh = lambda n: [f"w{draw.randint(0, 10**9)}" for _ in range(n)]
+    shared = fresh(70)
+    a, b = shared, [w if k not in (17, 35, 53) else f"z{k}" for k, w in enumerate(shared)]
+
+    def last(words):
+        """A text of these words whose hash is positive, so that it is the first of no frequent seed."""
+        while True:
+            text = fresh(30) + words + fresh(20)
+            h = substring.word_hashes(" ".join(text))
+            h = h * (np.arange(len(h), dtype=np.uint64) * substring.STEP + substring.FINISH | np.uint64(1))
+            if (h ^ (h >> np.uint64(32))).sum(dtype=np.uint64).view(np.int64) > 0:
+                return text
+
+    rows = [last(a), last(b)]
+    for _ in range(12):
+        rows += [fresh(30) + x[k : k + piece] + fresh(30) for x in (a, b) for k in range(0, 70 - piece + 1)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    found = substring.repeated_passages(docs).collect()
+    assert {(r.doc_id, r.other_id) for r in found} == {(0, 1), (1, 0)}
+
+
+@pytest.mark.parametrize("few", [16, 2])
+def test_links_by_brute_force(spark, few, monkeypatch):
+    """Near copies in a group, each linked to the others at a common line's two ends: all links are rows or within a class."""
+    monkeypatch.setattr(substring, "FEW", few, raising=False)
+    draw = random.Random(21)
+    fresh = lambda n: [f"w{draw.randint(0, 10**9)}" for _ in range(n)]
+    line, rows = fresh(12), []
+    for _ in range(12):  # families that share the line, and nothing else
+        head, tail = fresh(25), fresh(25)
+        for _ in range(3):
+            copy = head + line + tail
+            for k in draw.sample([*range(1, 24), *range(38, 61)], 5):
+                copy[k] = fresh(1)[0]
+            rows.append(fresh(20) + copy + fresh(20))
+    rows += [fresh(40) + line + fresh(40) for _ in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    near = {}
+    for r in substring.repeated_passages(docs).collect():
+        near.setdefault(r.doc_id, set()).add(r.other_id)
+    wanted = {(i, j) for i in range(36) for j in range(36) if i != j and linked(rows[i], rows[j])}
+    assert len(wanted) > 50
+    for i, j in wanted:
+        assert j in near[i] or near[i] & near[j], (i, j)
+    assert all(i // 3 == j // 3 and i < 36 for i, js in near.items() for j in js)
+
+
 def test_long_secrets():
     draw = random.Random(8)
     key = "".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(5000))
