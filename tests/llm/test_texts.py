@@ -508,6 +508,27 @@ def test_links_by_brute_force(spark, few, monkeypatch):
     assert all(i // 3 == j // 3 and i < 36 for i, js in near.items() for j in js)
 
 
+def test_common_seeds_send_few_matches(spark, monkeypatch):
+    """Texts of one class send the matches of neighbouring seeds with their leader, not of any two; two classes send one row."""
+    monkeypatch.setattr(substring, "FEW", 4)
+    draw = random.Random(5)
+    fresh = lambda n: [f"w{draw.randint(0, 10**9)}" for _ in range(n)]
+    shared, rows = fresh(120), []
+    for k in range(40):
+        text = fresh(20) + shared + fresh(20)
+        text[60 + k % 2] = "changed"
+        rows.append((k, " ".join(text)))
+    read = substring.materialise(substring._read(spark.createDataFrame([(k, k, t) for k, t in rows], "row long, doc_id long, text string"), 50))
+    _, common = substring._matches(read, 64)
+    sent = substring._crowded(substring._marked(read, common), 64, 50, 0.8).select("data").collect()
+    kept = len(substring.seeds(substring.word_hashes(" ".join(shared)))[0])
+    assert 40 < sum(len(r["data"]) for r in sent) // 24 < 5 * 40 * kept  # 24 bytes a match
+    near = {}
+    for r in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        near.setdefault(r.doc_id, set()).add(r.other_id)
+    assert all(j in near[i] or near[i] & near[j] for i in range(40) for j in range(i))
+
+
 def test_long_secrets():
     draw = random.Random(8)
     key = "".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(5000))
